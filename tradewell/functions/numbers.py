@@ -54,3 +54,8 @@ def float_text(c: Column) -> Column:
     """As :func:`plain_number_text`, with at least one decimal: ``12.5``, ``0.0``."""
     text = plain_number_text(c)
     return F.when(text.contains("."), text).otherwise(F.concat(text, F.lit(".0")))
+
+
+def fixed_text(c: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded from the exact binary value."""
+    return F.replace(F.format_number(c, digits), F.lit(","), F.lit(""))

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewell.functions.numbers import fixed_text
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 _WHITESPACE = " \t\n\r\f\x0b"
 
@@ -40,7 +42,7 @@ def ts_text(c: Column) -> Column:
 
 def score_text(c: Column) -> Column:
     """Four decimals, as hits are listed."""
-    return F.format_string("%.4f", c)
+    return fixed_text(c, 4)
 
 
 def with_date_parts(df: DataFrame, date_col: str, prefix: str = "order") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewell.plans import shop_queries, shop_sql
+from tradewell.plans import shop_queries, shop_sql, text_queries, text_sql
 
-QUERIES = {**shop_queries.QUERIES}
-SQL = {**shop_sql.SQL}
+QUERIES = {**shop_queries.QUERIES, **text_queries.QUERIES}
+SQL = {**shop_sql.SQL, **text_sql.SQL}

@@ -48,6 +48,16 @@ def add_ingestion_metadata(df: DataFrame, source: str | Column) -> DataFrame:
     return df.withColumns({"_ingestion_timestamp": F.current_timestamp(), "_source_file": name})
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores over all cores.
+
+    For texts, where the work per row is large. A large input has many splits and is
+    returned as it is, so texts are shuffled only when there is little of them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
