@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewell.operators import documents, gold, index_sync, lexical
+from tradewell.functions.numbers import plain_number_text
+from tradewell.functions.text import score_text
+from tradewell.operators import chat, documents, gold, index_sync, retrieval
 from tradewell.plans import shop_queries as sq
 from tradewell.sources import io, shop
 
@@ -73,19 +75,187 @@ def doc_index_sync_plan(spark: SparkSession, sf: str) -> DataFrame:
     return index_sync.index_sync_plan(source, current)
 
 
+# --- questions and documents -------------------------------------------------
+
+
 def user_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn, and a question about the revenue of every nation."""
     turns = shop.table(spark, sf, "conversations").filter("role = 'user'")
-    return turns.select(
-        F.concat_ws("_", "conv_id", "turn").alias("question_id"), "conv_id", "turn", "text"
+    asked = turns.select(F.concat_ws("_", "conv_id", "turn").alias("question_id"), "text")
+    nations = shop.table(spark, sf, "nation").select(
+        F.concat(F.lit("nation_"), F.col("n_nationkey")).alias("question_id"),
+        F.concat(F.lit("Qual a Receita de "), "n_name", F.lit(" les de la?")).alias("text"),
     )
+    return asked.unionByName(nations)
 
 
 def text_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return io.spread(shop.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = shop.table(spark, sf, "documents").select(
+        "doc_id", F.col("lang").alias("doc_type"), "text"
+    )
+    return io.spread(docs, "doc_id")
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.retrieve(user_questions(spark, sf), text_documents(spark, sf))
 
 
 def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.lexical_topk(user_questions(spark, sf), text_documents(spark, sf))
+    return _hits(spark, sf)
+
+
+def retrieve_for_questions(spark: SparkSession, sf: str) -> DataFrame:
+    found = chat.hits_with_text(_hits(spark, sf), text_documents(spark, sf))
+    return found.select(
+        "question_id",
+        "rank",
+        "doc_id",
+        "doc_type",
+        "text",
+        score_text(F.col("score")).alias("score_text"),
+    )
+
+
+def route_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """User turns, nations, and a question per product and customer."""
+    parts = shop.table(spark, sf, "part").select(
+        F.concat(F.lit("part_"), F.col("p_partkey")).alias("question_id"),
+        F.concat(F.lit("Qual o estoque de "), "p_name", F.lit(", lapTOP ou outro?")).alias("text"),
+    )
+    buyers = shop.table(spark, sf, "customer").select(
+        F.concat(F.lit("customer_"), F.col("c_custkey")).alias("question_id"),
+        F.concat(F.lit("Onde mora "), "c_name", F.lit("?")).alias("text"),
+    )
+    every = user_questions(spark, sf).unionByName(parts).unionByName(buyers)
+    return chat.route_questions(every).select("question_id", "is_analytical")
+
+
+def answer_sources(spark: SparkSession, sf: str) -> DataFrame:
+    routed = chat.route_questions(user_questions(spark, sf))
+    return chat.answer_sources(routed, _hits(spark, sf), text_documents(spark, sf))
+
+
+def prompt_batch(spark: SparkSession, sf: str) -> DataFrame:
+    found = chat.hits_with_text(_hits(spark, sf), text_documents(spark, sf))
+    return chat.build_prompts(user_questions(spark, sf), found)
+
+
+def exact_context(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.exact_context(
+        sq.kpi_headline(spark, sf),
+        sq.context_top_products_revenue(spark, sf),
+        sq.context_top_products_volume(spark, sf),
+        sq.context_top_customers(spark, sf),
+    )
+
+
+def prompt_batch_hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    routed = chat.route_questions(user_questions(spark, sf))
+    open_questions = routed.filter(~F.col("is_analytical")).select("question_id", "text")
+    docs = text_documents(spark, sf)
+    found = chat.hits_with_text(retrieval.retrieve(open_questions, docs), docs)
+    return chat.build_prompts_hybrid(routed, found, exact_context(spark, sf))
+
+
+def conversation_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.history_turns(shop.table(spark, sf, "conversations"))
+
+
+def conversation_history(spark: SparkSession, sf: str) -> DataFrame:
+    pages = chat.conversation_history(shop.table(spark, sf, "conversations"))
+    said = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return pages.select(
+        "conv_id", "page", F.size("history").alias("messages"), F.array_join(said, "\n").alias("history_text")
+    )
+
+
+def retrieval_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """The assistant turn after a user turn is the answer to it."""
+    turns = shop.table(spark, sf, "conversations").filter("role = 'assistant'")
+    answers = turns.select(
+        F.concat_ws("_", "conv_id", F.col("turn") - 1).alias("question_id"),
+        F.col("text").alias("answer"),
+    )
+    return chat.retrieval_coverage(user_questions(spark, sf), _hits(spark, sf), answers)
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    """One model answer per product, its chart well formed or broken by the size."""
+    size, price = F.col("p_size"), plain_number_text(F.col("p_retailprice"))
+    text = F.concat(F.lit('"'), "p_brand", F.lit('", "'), "p_type", F.lit('"'))
+
+    def chart(x, y, rest):
+        return F.concat(F.lit('{"x": ['), x, F.lit('], "y": ['), y, F.lit("]"), rest, F.lit("}"))
+
+    labels = F.concat(
+        F.lit(', "chart_type": "line", "title": "Volume de '), "p_name", F.lit('", "xaxis": "Marca", "yaxis": "Preço"')
+    )
+    numbers = F.concat(price, F.lit(", "), size.cast("string"))
+    json = (
+        F.when(size == 2, F.lit('{"x": ["a"'))
+        .when(size == 3, F.concat(F.lit("["), text, F.lit("]")))
+        .when(size == 4, chart(numbers, numbers, labels))
+        .when(size == 5, chart(text, F.concat(F.lit('"'), price, F.lit('", "3"')), labels))
+        .when(size == 6, chart(text, F.lit('"n/a"'), labels))
+        .when(size == 7, chart(text, numbers, F.lit("")))
+        .when(size == 8, F.lit("{}"))
+        .when(size == 9, chart(text, numbers, F.lit(', "title": null')))
+        .when(size == 10, chart(text, F.lit("1, null"), labels))
+        .when(size == 11, F.lit('{"x": "abc", "y": [1]}'))
+        .when(size == 12, chart(text, numbers, F.lit(', "title": 5')))
+        .when(size == 13, chart(text, F.lit("true, false"), labels))
+        .when(size == 14, chart(F.lit("null"), numbers, labels))
+        .when(size == 15, chart(text, F.lit("[1], [2]"), labels))
+        .otherwise(chart(text, numbers, labels))
+    )
+    prose = F.concat(F.lit("  O produto "), "p_name", F.lit(" vende bem. \n"))
+    marked = F.concat(prose, F.lit("***\n"), json, F.lit("\n***"))
+    return shop.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("answer_id"), F.when(size == 1, prose).otherwise(marked).alias("text")
+    )
+
+
+def extract_chart(spark: SparkSession, sf: str) -> DataFrame:
+    charts = chat.extract_chart(_answers(spark, sf))
+    total = F.aggregate("chart.y", F.lit(0.0), lambda a, v: a + v)
+    return charts.select(
+        "answer_id",
+        "answer",
+        F.col("chart").isNotNull().alias("has_chart"),
+        F.col("chart.type").alias("chart_type"),
+        F.array_join("chart.x", "|").alias("x_text"),
+        F.size("chart.y").alias("points"),
+        F.round(total, 4).alias("y_total"),
+        "chart.title",
+        "chart.xaxis_title",
+        "chart.yaxis_title",
+    )
+
+
+# --- vectors -----------------------------------------------------------------
+
+
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest other vectors of every vector."""
+    table = shop.table(spark, sf, "embeddings")
+    docs = table.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
+    asked = docs.withColumnRenamed("doc_id", "question_id")
+    return retrieval.vector_topk(asked, docs, skip_same=True)
+
+
+def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = text_documents(spark, sf)
+    embedded = retrieval.hashing_embedder(retrieval.fit_idf(docs))(docs)
+    squares = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
+    return embedded.select(
+        "doc_id", F.size("vec").alias("dimensions"), F.round(F.sqrt(squares), 3).alias("length")
+    )
+
+
+def retrieve_by_vector(spark: SparkSession, sf: str) -> DataFrame:
+    docs = text_documents(spark, sf)
+    embedder = retrieval.hashing_embedder(retrieval.fit_idf(docs))
+    return retrieval.retrieve(user_questions(spark, sf), docs, embedder=embedder)
 
 
 QUERIES = {
@@ -100,4 +270,17 @@ QUERIES = {
     "docs_period_short": docs_period_short,
     "doc_index_sync_plan": doc_index_sync_plan,
     "lexical_topk": lexical_topk,
+    "retrieve_for_questions": retrieve_for_questions,
+    "route_questions": route_questions,
+    "answer_sources": answer_sources,
+    "prompt_batch": prompt_batch,
+    "prompt_batch_hybrid": prompt_batch_hybrid,
+    "exact_context": exact_context,
+    "conversation_turns": conversation_turns,
+    "conversation_history": conversation_history,
+    "retrieval_coverage": retrieval_coverage,
+    "extract_chart": extract_chart,
+    "vector_topk": vector_topk,
+    "embed_documents": embed_documents,
+    "retrieve_by_vector": retrieve_by_vector,
 }

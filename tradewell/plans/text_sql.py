@@ -44,8 +44,11 @@ def short_customers(totals: str) -> str:
 CORPUS = " UNION ALL ".join(f"({DOC[t]})" for t in ("customer", "product", "revenue", "kpi"))
 CORPUS_NEEDS = ["topc", "topp", "summary", "kpis"]
 
-QUESTIONS = """SELECT conv_id || '_' || turn AS question_id, conv_id, turn, text
-  FROM conversations WHERE role = 'user'"""
+QUESTIONS = """SELECT conv_id || '_' || turn AS question_id, text
+  FROM conversations WHERE role = 'user' UNION ALL
+  SELECT 'nation_' || n_nationkey, 'Qual a Receita de ' || n_name || ' les de la?' FROM nation"""
+ANALYTICAL = """regexp_matches(lower(text),
+  'top|receita|venda|cliente|produto|kpi|quantidade|faturamento')"""
 
 
 def tokens(x: str) -> str:
@@ -71,6 +74,77 @@ LEXICAL = {
       WHERE rank <= 5""",
 }
 
+HYBRID_BLOCKS = """SELECT question_id,
+  string_agg('[Doc ' || rank || ' - ' || lang || ']\n' || documents.text, '\n\n' ORDER BY rank) AS context
+  FROM hits JOIN documents ON hits.doc_id = documents.doc_id GROUP BY 1"""
+_PRODUCT_LINE = (
+    f"'- ' || product_name || ': ' || total_quantity || ' unidades, Receita R$ ' || {plain('total_revenue')}"
+)
+CONTEXT = f"""SELECT '[DADOS EXATOS DO BANCO (USE ESTES CASO HAJA CONFLITO COM O VECTOR SEARCH)]\n' ||
+  'Métricas Gerais (Exatas): ' || total_orders || ' pedidos, Receita R$ ' || {plain('total_revenue')} ||
+  ', Ticket Médio R$ ' || {plain('avg_ticket')} || '.\n\nTop Produtos por Receita (Exatos):\n' ||
+  (SELECT string_agg({_PRODUCT_LINE}, '\n' ORDER BY rank_revenue) FROM topp WHERE rank_revenue <= 5) ||
+  '\n\nTop Produtos por Volume de Vendas (Exatos):\n' ||
+  (SELECT string_agg({_PRODUCT_LINE}, '\n' ORDER BY rank_quantity) FROM topp WHERE rank_quantity <= 5) ||
+  '\n\nTop Clientes (Exatos):\n' ||
+  (SELECT string_agg('- ' || customer_name || ': ' || total_orders || ' pedidos, Receita R$ ' ||
+    {plain('total_revenue')}, '\n' ORDER BY rank) FROM topc WHERE rank <= 5) || '\n' AS context
+  FROM headline"""
+
+_LABELS = """', "chart_type": "line", "title": "Volume de ' || p_name || '", "xaxis": "Marca", "yaxis": "Preço"'"""
+_TEXT = """'"' || p_brand || '", "' || p_type || '"'"""
+_NUM = f"{plain('p_retailprice')} || ', ' || p_size"
+
+
+def _chart(x: str, y: str, rest: str) -> str:
+    return f"""'{{"x": [' || {x} || '], "y": [' || {y} || ']' || {rest} || '}}'"""
+
+
+ANSWERS = f"""SELECT p_partkey AS answer_id, CASE WHEN p_size = 1 THEN prose
+  ELSE prose || '***\n' || j || '\n***' END AS text FROM (SELECT p_partkey, p_size,
+  '  O produto ' || p_name || ' vende bem. \n' AS prose, CASE p_size
+  WHEN 2 THEN '{{"x": ["a"' WHEN 3 THEN '[' || {_TEXT} || ']'
+  WHEN 4 THEN {_chart(_NUM, _NUM, _LABELS)}
+  WHEN 5 THEN {_chart(_TEXT, f"""'"' || {plain('p_retailprice')} || '", "3"'""", _LABELS)}
+  WHEN 6 THEN {_chart(_TEXT, "'\"n/a\"'", _LABELS)}
+  WHEN 7 THEN {_chart(_TEXT, _NUM, "''")} WHEN 8 THEN '{{}}'
+  WHEN 9 THEN {_chart(_TEXT, _NUM, "', \"title\": null'")}
+  WHEN 10 THEN {_chart(_TEXT, "'1, null'", _LABELS)}
+  WHEN 11 THEN '{{"x": "abc", "y": [1]}}'
+  WHEN 12 THEN {_chart(_TEXT, _NUM, "', \"title\": 5'")}
+  WHEN 13 THEN {_chart(_TEXT, "'true, false'", _LABELS)}
+  WHEN 14 THEN {_chart("'null'", _NUM, _LABELS)}
+  WHEN 15 THEN {_chart(_TEXT, "'[1], [2]'", _LABELS)}
+  ELSE {_chart(_TEXT, _NUM, _LABELS)} END AS j FROM part)"""
+
+
+def _text_ok(name: str) -> str:
+    return f"coalesce(json_type(o, '$.{name}') = 'VARCHAR', true)"
+
+
+def _text_of(name: str, default: str) -> str:
+    return f"CASE WHEN ok THEN coalesce(json_extract_string(o, '$.{name}'), '{default}') END"
+
+
+EXTRACT = {
+    "ans": ANSWERS,
+    "parts": """SELECT answer_id, CASE WHEN contains(text, '***')
+      THEN trim(split_part(text, '***', 1), E' \\n') ELSE text END AS answer,
+      trim(split_part(text, '***', 2), E' \\n') AS j FROM ans""",
+    "obj": """SELECT answer_id, answer, CASE WHEN json_valid(j) AND json_type(try_cast(j AS JSON)) = 'OBJECT'
+      THEN try_cast(j AS JSON) END AS o FROM parts""",
+    "pts": """SELECT *, coalesce(json_type(o, '$.x'), 'ARRAY') = 'ARRAY' AS xa,
+      coalesce(json_type(o, '$.y'), 'ARRAY') = 'ARRAY' AS ya,
+      coalesce(json_extract(o, '$.x[*]'), []) AS xs,
+      list_transform(coalesce(json_extract(o, '$.y[*]'), []), lambda e: CASE json_type(e)
+        WHEN 'BOOLEAN' THEN CASE WHEN e = 'true' THEN 1.0 ELSE 0.0 END
+        ELSE try_cast(json_extract_string(e, '$') AS DOUBLE) END) AS ys FROM obj""",
+    "chk": f"""SELECT *, o IS NOT NULL AND xa AND ya
+      AND len(list_filter(xs, lambda e: json_type(e) <> 'VARCHAR')) = 0
+      AND len(list_filter(ys, lambda e: e IS NULL)) = 0 AND {_text_ok('chart_type')}
+      AND {_text_ok('title')} AND {_text_ok('xaxis')} AND {_text_ok('yaxis')} AS ok FROM pts""",
+}
+
 SQL = {
     "docs_customers": with_ctes(["topc"], DOC["customer"]),
     "docs_products": with_ctes(["topp"], DOC["product"]),
@@ -116,4 +190,71 @@ SQL = {
         },
     ),
     "lexical_topk": with_ctes([], "SELECT * FROM hits", LEXICAL),
+    "retrieve_for_questions": with_ctes(
+        [],
+        """SELECT question_id, rank, hits.doc_id, lang AS doc_type, text, format('{:.4f}', score) AS score_text
+        FROM hits JOIN documents ON hits.doc_id = documents.doc_id""",
+        LEXICAL,
+    ),
+    "route_questions": f"""SELECT question_id, {ANALYTICAL} AS is_analytical FROM ({QUESTIONS} UNION ALL
+      SELECT 'part_' || p_partkey, 'Qual o estoque de ' || p_name || ', lapTOP ou outro?' FROM part UNION ALL
+      SELECT 'customer_' || c_custkey, 'Onde mora ' || c_name || '?' FROM customer)""",
+    "answer_sources": with_ctes(
+        [],
+        f"""SELECT question_id, 1 AS position, 'SQL Warehouse (Gold)' AS source_id,
+        'Fonte exata: Tabelas agregadas de KPIs, Top Produtos e Top Clientes com valores atualizados '
+        || 'e matematicamente precisos.' AS source_text, 1.0 AS score FROM uq UNION ALL
+        SELECT hits.question_id, rank + 1, CAST(hits.doc_id AS VARCHAR), documents.text, score
+        FROM hits JOIN documents ON hits.doc_id = documents.doc_id
+        JOIN uq ON uq.question_id = hits.question_id
+        WHERE rank <= 3 AND NOT {ANALYTICAL.replace('text', 'uq.text')}""",
+        LEXICAL,
+    ),
+    "prompt_batch": with_ctes(
+        [],
+        """SELECT uq.question_id, 'CONTEXTO (dados do e-commerce):\n' || context ||
+        '\n\nPERGUNTA DO USUÁRIO:\n' || text || '\n\nResponda com base nos dados do contexto acima.' AS prompt
+        FROM uq JOIN blocks ON uq.question_id = blocks.question_id""",
+        {**LEXICAL, "blocks": HYBRID_BLOCKS.replace("[Doc ", "[Documento ")},
+    ),
+    "prompt_batch_hybrid": with_ctes(
+        ["topc", "topp", "headline"],
+        f"""SELECT uq.question_id, 'CONTEXTO DO VECTOR SEARCH:\n' || CASE WHEN {ANALYTICAL} THEN ''
+        ELSE coalesce(blocks.context, '') END || '\n\n' || ctx.context || '\n\nPERGUNTA:\n' || text AS prompt
+        FROM uq LEFT JOIN blocks ON uq.question_id = blocks.question_id, ctx""",
+        # The weights of a document do not depend on the questions asked with it.
+        {**LEXICAL, "blocks": HYBRID_BLOCKS, "ctx": CONTEXT},
+    ),
+    "exact_context": with_ctes(["topc", "topp", "headline"], CONTEXT),
+    "conversation_turns": """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user' ELSE 'model' END AS role,
+      text AS content FROM conversations""",
+    "conversation_history": """SELECT conv_id, turn // 256 AS page, CAST(count(*) AS INTEGER) AS messages,
+      string_agg(CASE role WHEN 'user' THEN 'user' ELSE 'model' END || ': ' || text, '\n' ORDER BY turn)
+        AS history_text FROM conversations GROUP BY 1, 2""",
+    "retrieval_coverage": with_ctes(
+        [],
+        """SELECT uq.question_id, coalesce(n, 0) AS documents,
+        CASE WHEN n IS NULL THEN '❌ Nenhum documento relevante encontrado para sua pergunta.' END AS reply,
+        coalesce(length(a.text) > 20, false) AS answered FROM uq
+        LEFT JOIN (SELECT question_id, count(*) AS n FROM hits GROUP BY 1) h ON h.question_id = uq.question_id
+        LEFT JOIN (SELECT conv_id || '_' || (turn - 1) AS question_id, text FROM conversations
+          WHERE role = 'assistant') a ON a.question_id = uq.question_id""",
+        LEXICAL,
+    ),
+    "extract_chart": with_ctes(
+        [],
+        f"""SELECT answer_id, answer, ok AS has_chart, {_text_of('chart_type', 'bar')} AS chart_type,
+        CASE WHEN ok THEN array_to_string(list_transform(xs, lambda e: json_extract_string(e, '$')), '|') END
+          AS x_text, CASE WHEN ok THEN CAST(len(ys) AS INTEGER) END AS points,
+        CASE WHEN ok THEN round(coalesce(list_sum(ys), 0.0), 4) END AS y_total, {_text_of('title', '')} AS title,
+        {_text_of('xaxis', '')} AS xaxis_title, {_text_of('yaxis', '')} AS yaxis_title FROM chk""",
+        EXTRACT,
+    ),
+    "vector_topk": """SELECT question_id, doc_id, score, rank FROM (SELECT question_id, doc_id, score,
+      CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+      FROM (SELECT q.vec_id AS question_id, d.vec_id AS doc_id, round(list_cosine_similarity(
+        CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score
+        FROM embeddings q, embeddings d WHERE q.vec_id <> d.vec_id)) WHERE rank <= 5""",
+    "embed_documents": f"""SELECT doc_id, 1024 AS dimensions,
+      CASE WHEN len({tokens('text')}) > 0 THEN 1.0 ELSE 0.0 END AS length FROM documents""",
 }
