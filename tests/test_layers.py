@@ -1,0 +1,198 @@
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import plan_of
+from tradewell.config import LayerStep
+from tradewell.operators import gold, quality, ranking, serving, silver
+from tradewell.sources import shop
+
+
+def test_customer_cleaning(spark):
+    raw = spark.createDataFrame(
+        [
+            ("C1", " ana  maria ", None, "SÃO paulo", " sp", "2024-01-01", 1),
+            ("C1", "old", "x@y", "a", "b", "2024-01-01", 0),
+            (None, "x", "x", "x", "x", "2024-01-01", 0),
+            ("C2", None, " A@B.COM ", "   ", None, "2024-13-01", 0),
+        ],
+        "customer_id string, customer_name string, email string, city string, state string, registration_date string, v int",
+    )
+    rows = {r.customer_id: r for r in silver.silver_customers(raw, ["v"]).collect()}
+    assert set(rows) == {"C1", "C2"}
+    assert rows["C1"].customer_name == "Ana  Maria" and rows["C1"].state == "SP"
+    assert rows["C1"].email == "sem_email@unknown.com" and rows["C1"].city == "São Paulo"
+    assert rows["C2"].customer_name == "Nome Desconhecido" and rows["C2"].city == ""
+    assert rows["C2"].registration_date is None and rows["C2"].email == "a@b.com"
+    blank = silver.silver_customers(raw, ["v"], blank_as_null=True).filter("customer_id = 'C2'").first()
+    assert blank.city == "Cidade Desconhecida"
+
+
+def test_product_prices(spark):
+    prices = [None, float("nan"), 0.0, -3.0, 0.004, 0.005, 1.005, 12.0]
+    raw = spark.createDataFrame(
+        [(f"P{i}", " x ", None, p, None, "2024-01-01") for i, p in enumerate(prices)],
+        "product_id string, product_name string, category string, price double, stock_quantity int, created_date string",
+    )
+    rows = silver.silver_products(raw).orderBy("product_id").collect()
+    assert [r.price for r in rows] == [0.01, 0.01, 0.01, 0.01, 0.01, 0.01, 1.01, 12.0]
+    assert {(r.product_name, r.category, r.stock_quantity) for r in rows} == {("x", "Sem Categoria", 0)}
+
+
+def test_cleaning_twice_changes_nothing(spark, sf):
+    once = silver.silver_customers(shop.raw_customers(spark, sf), ["load_no"])
+    twice = silver.silver_customers(once.withColumn("registration_date", F.col("registration_date").cast("string")), ["load_no"])
+    assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
+
+
+def _orders(spark, rows):
+    return spark.createDataFrame(
+        rows, "order_id string, customer_id string, order_year_month string, status string, total_amount double"
+    )
+
+
+def test_growth(spark):
+    orders = _orders(
+        spark,
+        [
+            ("1", "a", None, "completed", 50.0),
+            ("2", "a", "2024-01", "completed", 100.0),
+            ("3", "b", "2024-02", "completed", 150.555),
+            ("4", "b", "2024-02", "shipped", 999.0),
+            ("5", "a", "2024-04", "completed", 75.0),
+            ("6", "a", "2024-05", "completed", 0.0),
+            ("7", "a", "2024-06", "completed", 10.0),
+        ],
+    )
+    got = {r.order_year_month: r.growth_pct for r in gold.revenue_summary(orders).collect()}
+    assert got[None] == 0.0 and got["2024-01"] == 100.0
+    assert got["2024-02"] == pytest.approx(50.56, abs=0.011)
+    assert got["2024-04"] < 0 and got["2024-05"] == -100.0 and got["2024-06"] == 0.0
+    gaps = {r.order_year_month: r.growth_pct for r in gold.revenue_summary(orders, calendar_gaps=True).collect()}
+    assert gaps["2024-04"] == 0.0 and gaps["2024-05"] == -100.0
+
+
+def test_unknown_dimension_rows_stay(spark):
+    items = spark.createDataFrame(
+        [("o1", "2024-01-01", "p1", 1, 2.0, 2.0), ("o1", "2024-01-01", "p1", 1, 3.0, 3.0), ("o2", "2024-01-01", "gone", 2, 1.0, 2.0)],
+        "order_id string, order_date string, product_id string, quantity int, unit_price double, item_total double",
+    )
+    products = spark.createDataFrame([("p1", "A", "Cat")], "product_id string, product_name string, category string")
+    top = {r.product_id: r for r in gold.top_products(items, products).collect()}
+    assert top["gone"].product_name is None and top["p1"].num_orders == 2
+    assert top["p1"].avg_unit_price == 2.5
+    assert (top["p1"].rank_revenue, top["p1"].rank_quantity) == (1, 2)  # quantity tie: id decides
+    cats = {r.dimension_value: r for r in gold.kpi_by_category(items, products).collect()}
+    assert cats["Cat"].total_orders == 1 and cats["Cat"].avg_ticket == 2.5 and None in cats
+
+
+def test_totals_agree(spark, sf):
+    orders, customers = shop.completed_orders(spark, sf), shop.customers(spark, sf)
+    months = gold.revenue_monthly(orders).agg(F.round(F.sum("total_revenue"), 2)).first()[0]
+    people = gold.top_customers(orders, customers).agg(F.round(F.sum("total_revenue"), 2)).first()[0]
+    head = gold.kpi_headline(orders, shop.completed_items(spark, sf)).first()
+    assert months == people == head.total_revenue
+
+
+def test_empty_inputs(spark):
+    orders = _orders(spark, []).withColumn("order_date", F.lit(None).cast("date"))
+    head = gold.kpi_headline(orders, spark.createDataFrame([], "quantity int")).first()
+    assert head.total_orders == 0 and head.avg_ticket == 0.0 and head.total_revenue is None
+    dash = serving.dashboard_headline(gold.revenue_monthly(orders), orders).first()
+    assert (dash.total_revenue, dash.total_orders, dash.avg_ticket, dash.active_customers) == (0.0, 0, 0.0, 0)
+    ranked = gold.top_customers(orders, spark.createDataFrame([], "customer_id string, customer_name string, city string, state string"))
+    assert ranked.count() == 0
+
+
+@pytest.mark.parametrize("buckets", [2, 8, 64])
+def test_global_rank_is_the_plain_rank(spark, buckets):
+    # A third of the rows share one value, and some have none.
+    df = spark.range(5000).select(
+        F.format_string("k%05d", "id").alias("k"),
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 101 == 0, None).otherwise(F.col("id") * 7919 % 997).alias("v"),
+    )
+    got = ranking.global_rank(df, "v", "k", buckets=buckets)
+    from pyspark.sql import Window as W
+
+    want = df.withColumn("rank", F.row_number().over(W.orderBy(F.col("v").desc_nulls_last(), "k")).cast("bigint"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    sizes = [r["count"] for r in got.groupBy(F.floor((F.col("rank") - 1) / 5000)).count().collect()]
+    assert sum(sizes) == 5000
+
+
+def test_global_rank_never_sorts_all_rows_in_one_task(spark, sf):
+    orders = shop.orders(spark, sf).select("order_id", F.floor("total_amount").alias("v"))
+    plan = plan_of(ranking.global_rank(orders, "v", "order_id"))
+    assert "row_number() windowspecdefinition(_bucket" in plan
+    singles = [line for line in plan.splitlines() if "Exchange SinglePartition" in line]
+    assert len(singles) <= 2  # the sizes of the ranges and the sample
+
+
+def test_top_k_is_planned_as_top_k(spark, sf):
+    totals = gold.customer_totals(shop.completed_orders(spark, sf))
+    assert "TakeOrderedAndProject" in plan_of(ranking.top_by_rank(totals, "_revenue", "customer_id", 10))
+
+
+def test_scan_is_pruned_and_filtered(spark, sf):
+    plan = plan_of(gold.revenue_monthly(shop.completed_orders(spark, sf)))
+    assert "EqualTo(o_orderstatus,F)" in plan and "o_orderpriority" not in plan
+    assert "Expand" not in plan
+
+
+def test_dedupe_limits_before_the_shuffle(spark):
+    df = spark.range(100000).select((F.col("id") % 1).alias("k"), F.col("id").alias("v"))
+    single = quality.dedupe_latest(df, ["k"], [F.desc("v")])
+    assert single.first().v == 99999
+    plan = plan_of(single)
+    limits = [m.start() for m in re.finditer("WindowGroupLimit", plan)]
+    assert len(limits) == 2 and limits[0] < plan.index("Exchange") < limits[1]
+
+
+def test_quality_checks(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, "b"), (2, None)], "k int, t string")
+    dup = quality.validate_no_duplicates(df, ["k", "t"], "t").first()
+    assert (dup.observed, dup.passed) == (2, False)
+    nulls = {r.column_name: r.observed for r in quality.validate_no_nulls(df, ["k", "t"], "t").collect()}
+    assert nulls == {"k": 2, "t": 1}
+    assert quality.validate_record_count(df, "t", 5).first().passed
+    assert not quality.validate_record_count(df, "t", 6).first().passed
+    none = quality.validate_no_duplicates(df.filter("k > 5"), ["k"], "t").first()
+    assert (none.observed, none.passed) == (0, True)
+    types = {r.column_name: (r.actual_type, r.passed) for r in quality.check_types(df, {"k": "int", "z": "int"}, "t").collect()}
+    assert types == {"k": ("int", True), "z": ("missing", False)}
+    assert quality.sample_rows(df).count() == 5
+
+
+@pytest.mark.parametrize(
+    ("name", "want"),
+    [("HTTPServer", "h_t_t_p_server"), ("preço", "pre_o"), ("Customer ID", "customer_i_d"), ("__a--b__", "a_b"), ("x", "x")],
+)
+def test_standard_names(spark, name, want):
+    assert quality.standardize_column_names(spark.range(1).toDF(name)).columns == [want]
+
+
+def test_standard_names_must_differ(spark):
+    df = spark.createDataFrame([(1, 2)], ["a b", "a-b"])
+    with pytest.raises(ValueError, match="a_b"):
+        quality.standardize_column_names(df)
+
+
+def test_layer_status(spark):
+    spark.range(4).withColumn("_processed_timestamp", F.lit("2024-05-06 07:08:09.5").cast("timestamp")).createOrReplaceTempView("ls_a")
+    spark.range(2).withColumn("_ingestion_timestamp", F.lit("2024-05-07 00:00:00").cast("timestamp")).createOrReplaceTempView("ls_b")
+    steps = [LayerStep("1", "", ("ls_a", "ls_b")), LayerStep("2", "", ("ls_a", "ls_none")), LayerStep("3", "", ())]
+    rows = {r.name: (r.status, r.records, r.last_run) for r in quality.layer_status(spark, steps, index_ready=True).collect()}
+    assert rows == {
+        "1": ("success", 6, "2024-05-07 00:00:00"),
+        "2": ("error", 4, "2024-05-06 07:08:09"),
+        "3": ("success", None, "Endpoint ativo"),
+    }
+
+
+def test_chart_series_units(spark):
+    df = spark.createDataFrame([("VOLUME vendido", "A", 3.0), ("Receita", "2024-03", 1234.5)], "title string, x string, y double")
+    rows = [(r.x_label, r.unit, r.hover) for r in serving.chart_series(df).orderBy("x").collect()]
+    assert rows == [("03/2024", "R$", "R$ 1.234,50"), ("A", "unidades", "3 unidades")]
+    assert not math.isnan(df.first().y)

@@ -28,13 +28,15 @@ def completed_only(orders: DataFrame) -> DataFrame:
     return orders.filter(F.col("status") == fv.REVENUE_STATUS)
 
 
-def flatten_items(orders: DataFrame) -> DataFrame:
-    """One row per item of the nested orders.
+ITEM_FIELDS = ("product_id", "product_name", "quantity", "unit_price", "item_total")
 
-    Only the wanted item fields are zipped and exploded, so the scan reads only those;
-    exploding the struct itself would read every field of it.
+
+def flatten_items(orders: DataFrame, fields: Sequence[str] = ITEM_FIELDS) -> DataFrame:
+    """One row per item of the nested orders, with the named item fields.
+
+    Only those fields are zipped and exploded, so the scan reads only them; exploding
+    the item struct itself would read every field of it.
     """
-    fields = ["product_id", "product_name", "quantity", "unit_price", "item_total"]
     zipped = F.arrays_zip(*[F.col(f"items.{f}").alias(f) for f in fields])
     return orders.select("order_id", "order_date", F.explode(zipped).alias("item")).select(
         "order_id", "order_date", *[F.col(f"item.{f}").alias(f) for f in fields]
