@@ -65,7 +65,7 @@ def test_blocks_do_not_change_the_result(spark, texts, monkeypatch):
         monkeypatch.setattr(block_topk, name, value)
     got = block_topk.block_topk(
         weights, asked, block_topk.term_scorer("doc_id", "question_id"), 5,
-        docs_per_block=40, questions_per_block=9, doc_keys=d, question_keys=q,
+        n_doc_blocks=F.lit(8), n_question_blocks=F.lit(5),
     ).collect()
     assert {(r.question_id, r.doc_id, r.score, r.rank) for r in got} == brute_lexical(*texts, 5)
 

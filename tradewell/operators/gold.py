@@ -128,8 +128,9 @@ def product_totals(items: DataFrame) -> DataFrame:
 
 def top_products(items: DataFrame, products: DataFrame) -> DataFrame:
     """Every product sold, ranked by revenue and by quantity, ties by id."""
-    ranked = global_rank(product_totals(items), "_revenue", "product_id", "rank_revenue")
-    ranked = global_rank(ranked, "total_quantity", "product_id", "rank_quantity")
+    totals = product_totals(items)
+    ranked = global_rank(totals, "_revenue", "product_id", "rank_revenue")
+    ranked = global_rank(ranked, "total_quantity", "product_id", "rank_quantity", source=totals)
     return enrich(named_revenue(ranked), products, "product_id", ["product_name", "category"])
 
 

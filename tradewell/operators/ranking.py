@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_SAMPLES_PER_BUCKET = 64
+_SAMPLES_PER_BUCKET = 16
+_MAX_BUCKETS = 1024
 _LAST = 2**63 - 1
 
 
@@ -31,25 +32,33 @@ def _bucket(bounds: Column, x: Column, buckets: int) -> Column:
 
 
 def global_rank(
-    df: DataFrame, value: str, key: str, out: str = "rank", buckets: int | None = None
+    df: DataFrame,
+    value: str,
+    key: str,
+    out: str = "rank",
+    buckets: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``row_number`` over (``value`` descending, ``key``) of the whole table.
 
     The rows are cut into ranges of (value, key), each range is numbered on its own, and
-    the sizes of the ranges before it are added. The cuts are quantiles of a small sample
-    picked by the hash of the key, so they are the same whenever a task runs again, and
-    tied values are cut by key, so a value shared by a third of the rows is still spread.
-    Only the sample (64 keys per range) and the range sizes meet in one task.
+    the sizes of the ranges before it are added. The cuts are quantiles of 16 keys per
+    range, those with the smallest hash, so they are the same whenever a task runs
+    again, and tied values are cut by key, so a value shared by a third of the rows is
+    still spread. Only those keys and the range sizes meet in one task; they decide how
+    the work is dealt, never which rows are ranked.
 
-    ``value`` must be a whole number; ``key`` should be unique.
+    ``value`` must be a whole number; ``key`` should be unique. ``source`` is a table with
+    the same keys and values that is cheaper to read than ``df``, for a second rank.
     """
+    source = df if source is None else source
     if buckets is None:
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << max(1, (buckets - 1).bit_length())
+    buckets = min(_MAX_BUCKETS, 1 << max(1, (buckets - 1).bit_length()))
     at = F.struct(F.coalesce(-F.col(value).cast("bigint"), F.lit(_LAST)).alias("v"), F.col(key).alias("k"))
 
     picked = (
-        df.select(at.alias("at"))
+        source.select(at.alias("at"))
         .orderBy(F.xxhash64("at.k"), "at")
         .limit(_SAMPLES_PER_BUCKET * buckets)
         .agg(F.sort_array(F.collect_list("at")).alias("s"))
@@ -61,10 +70,13 @@ def global_rank(
         )
     ).scalar()
 
-    ranged = df.withColumn("_cuts", cuts)
-    ranged = ranged.withColumn("_bucket", _bucket(F.col("_cuts"), at, buckets)).drop("_cuts")
+    def ranged(rows: DataFrame) -> DataFrame:
+        cut = rows.withColumn("_cuts", cuts)
+        return cut.withColumn("_bucket", _bucket(F.col("_cuts"), at, buckets)).drop("_cuts")
+
     before = (
-        ranged.groupBy("_bucket")
+        ranged(source)
+        .groupBy("_bucket")
         .agg(F.count("*").alias("_n"))
         .withColumn(
             "_before",
@@ -77,7 +89,8 @@ def global_rank(
     )
     order = W.partitionBy("_bucket").orderBy(F.col(value).desc_nulls_last(), F.col(key))
     return (
-        ranged.withColumn("_no", F.row_number().over(order))
+        ranged(df)
+        .withColumn("_no", F.row_number().over(order))
         .join(F.broadcast(before), "_bucket")
         .withColumn(out, (F.col("_before") + F.col("_no")).cast("bigint"))
         .drop("_bucket", "_no", "_before")

@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tradewell.config import tune
 from tradewell.plans import shop_queries, shop_sql, text_queries, text_sql
 
-QUERIES = {**shop_queries.QUERIES, **text_queries.QUERIES}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _tuned(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(tune(spark), sf_dir)
+
+    return run
+
+
+QUERIES = {n: _tuned(q) for n, q in {**shop_queries.QUERIES, **text_queries.QUERIES}.items()}
 SQL = {**shop_sql.SQL, **text_sql.SQL}

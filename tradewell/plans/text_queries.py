@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewell import fixed_values as fv
 from tradewell.functions.numbers import plain_number_text
 from tradewell.functions.text import score_text
 from tradewell.operators import chat, documents, gold, index_sync, retrieval
@@ -100,13 +101,21 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.retrieve(user_questions(spark, sf), text_documents(spark, sf))
 
 
+def _most_hits(spark: SparkSession, sf: str) -> int:
+    """A bound of the hits, from a count of the questions alone."""
+    return fv.TOP_K * user_questions(spark, sf).count()
+
+
+def _found(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
+    return chat.hits_with_text(hits, text_documents(spark, sf), _most_hits(spark, sf))
+
+
 def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _hits(spark, sf)
 
 
 def retrieve_for_questions(spark: SparkSession, sf: str) -> DataFrame:
-    found = chat.hits_with_text(_hits(spark, sf), text_documents(spark, sf))
-    return found.select(
+    return _found(spark, sf, _hits(spark, sf)).select(
         "question_id",
         "rank",
         "doc_id",
@@ -132,11 +141,12 @@ def route_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 def answer_sources(spark: SparkSession, sf: str) -> DataFrame:
     routed = chat.route_questions(user_questions(spark, sf))
-    return chat.answer_sources(routed, _hits(spark, sf), text_documents(spark, sf))
+    docs, hits = text_documents(spark, sf), _hits(spark, sf)
+    return chat.answer_sources(routed, hits, docs, at_most=_most_hits(spark, sf))
 
 
 def prompt_batch(spark: SparkSession, sf: str) -> DataFrame:
-    found = chat.hits_with_text(_hits(spark, sf), text_documents(spark, sf))
+    found = _found(spark, sf, _hits(spark, sf))
     return chat.build_prompts(user_questions(spark, sf), found)
 
 
@@ -152,8 +162,7 @@ def exact_context(spark: SparkSession, sf: str) -> DataFrame:
 def prompt_batch_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     routed = chat.route_questions(user_questions(spark, sf))
     open_questions = routed.filter(~F.col("is_analytical")).select("question_id", "text")
-    docs = text_documents(spark, sf)
-    found = chat.hits_with_text(retrieval.retrieve(open_questions, docs), docs)
+    found = _found(spark, sf, retrieval.retrieve(open_questions, text_documents(spark, sf)))
     return chat.build_prompts_hybrid(routed, found, exact_context(spark, sf))
 
 
