@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tradewell.operators import block_topk, chat, documents, index_sync, lexical, retrieval
+from tradewell.operators import block_topk, chat, documents, index_sync, lexical, retrieval, vector_cells
 
 
 def brute_lexical(questions, docs, k):
@@ -82,21 +82,51 @@ def test_long_documents_count_to_the_last_word(spark):
     assert [r.doc_id for r in lexical.lexical_topk(q, docs).collect()] == [1]
 
 
-def test_vector_topk_is_exact(spark):
-    rng = np.random.default_rng(1)
-    vecs = rng.normal(size=(150, 8))
-    vecs[50:100] = vecs[50]  # a third are copies
+def clustered(seed):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(12, 8))
+    vecs = centers[rng.integers(0, 12, 400)] + rng.normal(scale=0.05, size=(400, 8))
+    vecs[100:230] = vecs[100]  # a third are copies
     vecs[7] = 0
+    return vecs
+
+
+def brute_vectors(vecs, k):
+    v = vecs.astype(np.float32).astype(float)
+    norm = np.linalg.norm(v, axis=1)
+    scores = np.rint((v / np.where(norm > 0, norm, 1)[:, None]) @ (v / np.where(norm > 0, norm, 1)[:, None]).T * 1e6)
+    alive = [i for i in range(len(v)) if norm[i] > 0]
+    return {
+        (i, j, r)
+        for i in alive
+        for r, j in enumerate(sorted((x for x in alive if x != i), key=lambda x: (-scores[i, x], x))[:k], 1)
+    }
+
+
+@pytest.mark.parametrize("search", [retrieval.vector_topk, vector_cells.vector_topk_cells])
+@pytest.mark.parametrize("k", [1, 5])
+def test_vector_topk_is_exact(spark, search, k, monkeypatch):
+    monkeypatch.setattr(vector_cells, "DOCS_PER_BLOCK", 50)
+    vecs = clustered(k)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "doc_id bigint, vec array<float>")
     q = df.withColumnRenamed("doc_id", "question_id")
-    got = {(r.question_id, r.rank): r.doc_id for r in retrieval.vector_topk(q, df, 5, skip_same=True).collect()}
-    v = vecs.astype(np.float32).astype(float)
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    unit = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-    scores = np.rint(unit @ unit.T * 1e6)
-    for i in range(150):
-        order = sorted((x for x in range(150) if x != i), key=lambda j: (-scores[i, j], j))[:5]
-        assert [got[i, r] for r in range(1, 6)] == order
+    got = search(q, df, k, skip_same=True).collect()
+    assert {(r.question_id, r.doc_id, r.rank) for r in got} == brute_vectors(vecs, k)
+
+
+def test_cells_skip_far_cells(spark):
+    vecs = clustered(3)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "doc_id bigint, vec array<float>")
+    cells = vector_cells.build_cells(df, 5, n_cells=24)
+    q = df.withColumnRenamed("doc_id", "question_id")
+    visits = vector_cells.visited(q, cells, 5).groupBy("question_id").count().agg(F.avg("count")).first()[0]
+    assert 1 <= visits < 12
+
+
+def test_fewer_documents_than_k(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id bigint, vec array<float>")
+    q = df.withColumnRenamed("doc_id", "question_id")
+    assert vector_cells.vector_topk_cells(q, df, 5).count() == 4
 
 
 def test_hashing_embedder(spark):

@@ -34,17 +34,17 @@ class LakehouseConfig:
         entities = ("customers", "products", "orders")
         return [
             LayerStep(
-                "01_bronze_ingestao",
-                "Ingestão de dados brutos (JSON → tabela)",
+                "bronze",
+                "Ingestão de dados brutos",
                 tuple(self.table("bronze", e) for e in entities),
             ),
             LayerStep(
-                "02_silver_tratamento",
+                "silver",
                 "Limpeza e padronização dos dados",
                 tuple(self.table("silver", e) for e in entities),
             ),
             LayerStep(
-                "03_gold_kpis",
+                "gold",
                 "Geração de KPIs agregados",
                 tuple(
                     self.table("gold", t)
@@ -52,11 +52,11 @@ class LakehouseConfig:
                 ),
             ),
             LayerStep(
-                "04_embeddings",
+                "documents",
                 "Geração de embeddings vetoriais",
                 (self.table("gold", "embeddings_documents"),),
             ),
-            LayerStep("05_rag_chat", "Endpoint de Vector Search + LLM", ()),
+            LayerStep("index", "Busca de documentos", ()),
         ]
 
 

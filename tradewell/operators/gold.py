@@ -22,6 +22,7 @@ from tradewell.functions.numbers import (
     round_money,
 )
 from tradewell.operators.ranking import global_rank
+from tradewell.sources.io import materialize
 
 
 def completed_only(orders: DataFrame) -> DataFrame:
@@ -109,8 +110,12 @@ def named_revenue(df: DataFrame) -> DataFrame:
 
 
 def top_customers(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """Every customer with completed orders, ranked by revenue, ties by id."""
-    ranked = global_rank(customer_totals(orders), "_revenue", "customer_id", "rank")
+    """Every customer with completed orders, ranked by revenue, ties by id.
+
+    The rank reads the totals three times, so they are written once before it.
+    """
+    totals = materialize(customer_totals(orders), "customer_totals")
+    ranked = global_rank(totals, "_revenue", "customer_id", "rank")
     return enrich(
         named_revenue(ranked), customers, "customer_id", ["customer_name", "city", "state"]
     )
@@ -128,7 +133,7 @@ def product_totals(items: DataFrame) -> DataFrame:
 
 def top_products(items: DataFrame, products: DataFrame) -> DataFrame:
     """Every product sold, ranked by revenue and by quantity, ties by id."""
-    totals = product_totals(items)
+    totals = materialize(product_totals(items), "product_totals")
     ranked = global_rank(totals, "_revenue", "product_id", "rank_revenue")
     ranked = global_rank(ranked, "total_quantity", "product_id", "rank_quantity", source=totals)
     return enrich(named_revenue(ranked), products, "product_id", ["product_name", "category"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tradewell import fixed_values as fv
 from tradewell.functions.numbers import plain_number_text
 from tradewell.functions.text import score_text
-from tradewell.operators import chat, documents, gold, index_sync, retrieval
+from tradewell.operators import chat, documents, gold, index_sync, retrieval, vector_cells
 from tradewell.plans import shop_queries as sq
 from tradewell.sources import io, shop
 
@@ -244,12 +244,19 @@ def extract_chart(spark: SparkSession, sf: str) -> DataFrame:
 # --- vectors -----------------------------------------------------------------
 
 
-def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """The five nearest other vectors of every vector."""
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     table = shop.table(spark, sf, "embeddings")
     docs = table.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"))
-    asked = docs.withColumnRenamed("doc_id", "question_id")
-    return retrieval.vector_topk(asked, docs, skip_same=True)
+    return docs.withColumnRenamed("doc_id", "question_id"), docs
+
+
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The five nearest other vectors of every vector."""
+    return retrieval.vector_topk(*_vectors(spark, sf), skip_same=True)
+
+
+def vector_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_cells.vector_topk_cells(*_vectors(spark, sf), skip_same=True)
 
 
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,6 +297,7 @@ QUERIES = {
     "retrieval_coverage": retrieval_coverage,
     "extract_chart": extract_chart,
     "vector_topk": vector_topk,
+    "vector_topk_cells": vector_topk_cells,
     "embed_documents": embed_documents,
     "retrieve_by_vector": retrieve_by_vector,
 }

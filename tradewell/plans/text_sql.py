@@ -258,3 +258,4 @@ SQL = {
     "embed_documents": f"""SELECT doc_id, 1024 AS dimensions,
       CASE WHEN len({tokens('text')}) > 0 THEN 1.0 ELSE 0.0 END AS length FROM documents""",
 }
+SQL["vector_topk_cells"] = SQL["vector_topk"]

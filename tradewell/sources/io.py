@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from typing import Any
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tradewell import fixed_values as fv
+from tradewell.config import scratch_root
 from tradewell.functions.ptbr import decimal_comma
 
 CORRUPT = "_corrupt_record"
@@ -87,6 +89,18 @@ def write_table(
     return df.sparkSession.table(name)
 
 
+def materialize(df: DataFrame, stem: str) -> DataFrame:
+    """Write an intermediate result once to the shared folder and read it from there.
+
+    For a result that costs much to make and is read several times by what follows. It
+    is computed once, later readers prune its columns, and a lost executor costs a read
+    of the files, not the lineage.
+    """
+    path = f"{scratch_root(df.sparkSession)}/{stem}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_sql(
     spark: SparkSession, query: str, args: dict[str, Any] | None = None, **frames: DataFrame
 ) -> DataFrame:
