@@ -100,6 +100,9 @@ def build_session(app: str = "tradewell", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
@@ -110,7 +113,8 @@ def scratch_root(spark: SparkSession) -> str:
     if shared:
         return shared.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        made = tempfile.mkdtemp(prefix="tradewell-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        return made
+        app = spark.sparkContext.applicationId
+        if app not in _local_scratch:
+            _local_scratch[app] = tempfile.mkdtemp(prefix="tradewell-")
+        return _local_scratch[app]
     raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")

@@ -89,14 +89,14 @@ PERIOD_SENTENCE_SHORT = (
 )
 
 # --- Fixed values: prompt and context texts ----------------------------------
-PROMPT_NOTEBOOK = (
+PROMPT_BATCH = (
     "CONTEXTO (dados do e-commerce):\n{context}\n\n"
     "PERGUNTA DO USUÁRIO:\n{question}\n\n"
     "Responda com base nos dados do contexto acima."
 )
-PROMPT_NOTEBOOK_BLOCK = "[Documento {position} - {doc_type}]\n{text}"
-PROMPT_API = "CONTEXTO DO VECTOR SEARCH:\n{context}\n\n{exact_data}\n\nPERGUNTA:\n{question}"
-PROMPT_API_BLOCK = "[Doc {position} - {doc_type}]\n{text}"
+PROMPT_BATCH_BLOCK = "[Documento {position} - {doc_type}]\n{text}"
+PROMPT_HYBRID = "CONTEXTO DO VECTOR SEARCH:\n{context}\n\n{exact_data}\n\nPERGUNTA:\n{question}"
+PROMPT_HYBRID_BLOCK = "[Doc {position} - {doc_type}]\n{text}"
 CONTEXT_HEADER = "[DADOS EXATOS DO BANCO (USE ESTES CASO HAJA CONFLITO COM O VECTOR SEARCH)]"
 CONTEXT_TOTALS = (
     "Métricas Gerais (Exatas): {total_orders} pedidos, "

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -206,33 +206,28 @@ def kpis(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def kpi_headline(orders: DataFrame, items: DataFrame) -> DataFrame:
-    """One row: revenue, orders, customers, units and the mean order of all time.
-
-    Orders and items are two aggregates; each becomes a scalar of the one result row.
-    Customers are counted through one row per customer, spread over the cluster.
-    """
-    c = cents(F.col("total_amount"))
-    totals = (
-        completed_only(orders)
-        .groupBy("customer_id")
-        .agg(
-            F.sum(c).alias("_cents"),
-            F.count("order_id").alias("_orders"),
-            F.count(c).alias("_amounts"),
-        )
-        .agg(
-            from_cents(F.sum("_cents")).alias("total_revenue"),
-            F.coalesce(F.sum("_orders"), F.lit(0)).alias("total_orders"),
-            F.count("customer_id").alias("total_customers"),
-            from_cents(half_up_div(F.sum("_cents"), F.sum("_orders"))).alias("_ticket"),
-        )
+def headline_of(customer_totals: DataFrame, units: Column) -> DataFrame:
+    """The headline row from totals per customer and a scalar number of units sold."""
+    revenue, orders = F.sum("_revenue"), F.sum("total_orders")
+    row = customer_totals.agg(
+        from_cents(revenue).alias("total_revenue"),
+        F.coalesce(orders, F.lit(0)).alias("total_orders"),
+        F.count("customer_id").alias("total_customers"),
+        from_cents(half_up_div(revenue, orders)).alias("_ticket"),
     )
-    units = items.agg(F.sum("quantity")).scalar()
-    return totals.select(
+    return row.select(
         "total_revenue",
         "total_orders",
         "total_customers",
         units.alias("total_products_sold"),
         F.when(F.col("total_orders") > 0, F.col("_ticket")).otherwise(0.0).alias("avg_ticket"),
     )
+
+
+def kpi_headline(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: revenue, orders, customers, units and the mean order of all time.
+
+    Orders and items are two aggregates; customers are counted through one row per
+    customer, spread over the cluster.
+    """
+    return headline_of(customer_totals(orders), items.agg(F.sum("quantity")).scalar())

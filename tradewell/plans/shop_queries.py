@@ -356,34 +356,42 @@ def api_monthly_revenue(spark: SparkSession, sf: str) -> DataFrame:
     return serving.monthly_revenue(gold.revenue_monthly(shop.completed_orders(spark, sf)))
 
 
-def _top_products(spark: SparkSession, sf: str, by: str) -> DataFrame:
+def best_products(spark: SparkSession, sf: str, totals: DataFrame, by: str) -> DataFrame:
     """First five products by ``by``; names are looked up for those five only."""
-    best = serving.top_n(
-        _product_totals(spark, sf), [F.desc(by), F.asc("product_id")], fv.TOP_K
-    )
+    best = serving.top_n(totals, [F.desc(by), F.asc("product_id")], fv.TOP_K)
     named = gold.enrich(gold.named_revenue(best), shop.products(spark, sf), "product_id", ["product_name"])
     return named.select("product_id", "product_name", "total_quantity", "total_revenue")
 
 
+def best_customers(spark: SparkSession, sf: str, totals: DataFrame) -> DataFrame:
+    best = serving.top_n(totals, [F.desc("_revenue"), F.asc("customer_id")], fv.TOP_K)
+    return gold.enrich(
+        gold.named_revenue(best), shop.customers(spark, sf), "customer_id", ["customer_name"]
+    ).select("customer_id", "customer_name", "total_orders", "total_revenue")
+
+
 def api_top5_products(spark: SparkSession, sf: str) -> DataFrame:
-    return serving.top5_products(_top_products(spark, sf, "total_quantity"))
+    return serving.top5_products(context_top_products_volume(spark, sf))
 
 
 def context_top_products_revenue(spark: SparkSession, sf: str) -> DataFrame:
-    return _top_products(spark, sf, "_revenue")
+    return best_products(spark, sf, _product_totals(spark, sf), "_revenue")
 
 
 def context_top_products_volume(spark: SparkSession, sf: str) -> DataFrame:
-    return _top_products(spark, sf, "total_quantity")
+    return best_products(spark, sf, _product_totals(spark, sf), "total_quantity")
 
 
 def context_top_customers(spark: SparkSession, sf: str) -> DataFrame:
-    best = serving.top_n(
-        _customer_totals(spark, sf), [F.desc("_revenue"), F.asc("customer_id")], fv.TOP_K
+    return best_customers(spark, sf, _customer_totals(spark, sf))
+
+
+def written_totals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Totals per customer and per product, written once for several readers."""
+    return (
+        io.materialize(_customer_totals(spark, sf), "customer_totals"),
+        io.materialize(_product_totals(spark, sf), "product_totals"),
     )
-    return gold.enrich(
-        gold.named_revenue(best), shop.customers(spark, sf), "customer_id", ["customer_name"]
-    ).select("customer_id", "customer_name", "total_orders", "total_revenue")
 
 
 def format_brl_amounts(spark: SparkSession, sf: str) -> DataFrame:

@@ -151,11 +151,13 @@ def prompt_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_context(spark: SparkSession, sf: str) -> DataFrame:
+    """All four figures from one pass over the orders and one over the items."""
+    customers, products = sq.written_totals(spark, sf)
     return chat.exact_context(
-        sq.kpi_headline(spark, sf),
-        sq.context_top_products_revenue(spark, sf),
-        sq.context_top_products_volume(spark, sf),
-        sq.context_top_customers(spark, sf),
+        gold.headline_of(customers, products.agg(F.sum("total_quantity")).scalar()),
+        sq.best_products(spark, sf, products, "_revenue"),
+        sq.best_products(spark, sf, products, "total_quantity"),
+        sq.best_customers(spark, sf, customers),
     )
 
 
