@@ -256,6 +256,6 @@ SQL = {
         CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score
         FROM embeddings q, embeddings d WHERE q.vec_id <> d.vec_id)) WHERE rank <= 5""",
     "embed_documents": f"""SELECT doc_id, 1024 AS dimensions,
-      CASE WHEN len({tokens('text')}) > 0 THEN 1.0 ELSE 0.0 END AS length FROM documents""",
+      CASE WHEN len({tokens('text')}) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS length FROM documents""",
 }
 SQL["vector_topk_cells"] = SQL["vector_topk"]
