@@ -166,9 +166,9 @@ def dedupe_latest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    raw = shop.raw_customers(spark, sf).filter("load_no = 1")
-    return raw.select(
+    return shop.raw_customers(spark, sf).select(
         "customer_id",
+        "load_no",
         title_text(F.col("customer_name")).alias("title"),
         code_text(F.col("state")).alias("code"),
         lower_text(F.col("email")).alias("lowered"),
@@ -176,8 +176,8 @@ def text_normalize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def date_parts(spark: SparkSession, sf: str) -> DataFrame:
-    raw = shop.raw_order_headers(spark, sf).filter("load_no = 1")
-    dated = raw.select("order_id", parse_date(F.col("order_date")).alias("order_date"))
+    raw = shop.raw_order_headers(spark, sf)
+    dated = raw.select("order_id", "load_no", parse_date(F.col("order_date")).alias("order_date"))
     return with_date_parts(dated, "order_date")
 
 
@@ -189,9 +189,8 @@ def standardize_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_items_flat(spark: SparkSession, sf: str) -> DataFrame:
-    return gold.flatten_items(
-        shop.raw_orders(spark, sf).filter("load_no = 1").withColumn("order_date", parse_date(F.col("order_date")))
-    )
+    orders = shop.raw_orders(spark, sf)
+    return gold.flatten_items(orders.withColumn("order_date", parse_date(F.col("order_date"))))
 
 
 # --- checks ------------------------------------------------------------------

@@ -328,22 +328,22 @@ SQL = {
     ),
     "dedupe_latest": with_ctes(["rawlatest"], "SELECT * FROM rawlatest"),
     "text_normalize": with_ctes(
-        ["rawc1"],
-        f"""SELECT customer_id, {initcap('trim(customer_name)')} AS title, upper(trim(state)) AS code,
-        lower(trim(email)) AS lowered FROM rawc1""",
+        ["rawc"],
+        f"""SELECT customer_id, load_no, {initcap('trim(customer_name)')} AS title,
+        upper(trim(state)) AS code, lower(trim(email)) AS lowered FROM rawc""",
     ),
     "date_parts": with_ctes(
-        ["raw1"],
-        f"""SELECT order_id, order_date, {DATE_PARTS} FROM (SELECT order_id,
-        CAST(try_strptime(order_date, '%Y-%m-%d') AS DATE) AS order_date FROM raw1)""",
+        ["raw"],
+        f"""SELECT order_id, load_no, order_date, {DATE_PARTS} FROM (SELECT order_id, load_no,
+        CAST(try_strptime(order_date, '%Y-%m-%d') AS DATE) AS order_date FROM raw)""",
     ),
     "standardize_columns": """SELECT c_custkey AS customer_key, c_name AS h_t_t_p_server_name,
       c_nationkey AS nation_key, c_acctbal AS pre_o, c_mktsegment AS market_segment FROM customer""",
     "order_items_flat": with_ctes(
-        ["raw1", "line"],
-        """SELECT raw1.order_id, CAST(try_strptime(order_date, '%Y-%m-%d') AS DATE) AS order_date,
+        ["raw", "line"],
+        """SELECT raw.order_id, CAST(try_strptime(order_date, '%Y-%m-%d') AS DATE) AS order_date,
         product_id, product_name, CAST(quantity AS INTEGER) AS quantity, uc / 100 AS unit_price,
-        c / 100 AS item_total FROM line JOIN raw1 ON line.order_id = raw1.order_id""",
+        c / 100 AS item_total FROM line JOIN raw ON line.order_id = raw.order_id""",
     ),
     "dq_duplicates": with_ctes(
         ["rawc"],
