@@ -24,6 +24,9 @@ def test_parse_brl_reads_the_leading_number(spark):
     cases = {
         "R$ 1.234,56": 1234.56,
         "R$1.234": 1234.0,
+        "R$\u00a07,5": 7.5,
+        "\u00a0-R$ 3": -3.0,
+        "Infinity": float("inf"),
         "12,5 unidades": 12.5,
         "1,2,3": 1.2,
         "-7,25": -7.25,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tradewell.functions.numbers import plain_number_text
 
-_LEADING_NUMBER = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
+_LEADING_NUMBER = r"^[\s\u00a0]*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
 
 
 def format_brl(amount: Column) -> Column:
@@ -21,7 +21,7 @@ def parse_brl(text: Column) -> Column:
     mark, ``R$`` is dropped, and the leading number counts; no number gives 0."""
     no_dots = F.replace(text, F.lit("."), F.lit(""))
     dotted = F.regexp_replace(no_dots, r"^([^,]*),", "$1.")
-    bare = F.regexp_replace(dotted, r"R\$[\s ]?", "")
+    bare = F.regexp_replace(dotted, r"R\$[\s\u00a0]?", "")
     return F.coalesce(F.regexp_extract(bare, _LEADING_NUMBER, 1).try_cast("double"), F.lit(0.0))
 
 
