@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tradewell.sources.io import materialize
 
@@ -17,6 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_texts(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    work: Callable[[], Callable[[list[str]], list[list]]],
+    schema: str,
+) -> DataFrame:
+    """``doc_id`` as it is, and the columns of ``schema`` that a function makes from the texts.
+
+    ``work`` is called once in each task and returns the function, which gets a list of texts
+    (null as empty) and returns a list for each column. No other column is read.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    out = rows.limit(0).select(F.lit(None).cast(f"struct<{schema}>").alias("s")).schema["s"].dataType
+    kinds = to_arrow_schema(out)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = work()
+        for batch in batches:
+            made = of([t or "" for t in batch.column(1).to_pylist()])
+            columns = [pa.array(c, type=f.type) for c, f in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *kinds.names])
+
+    return rows.mapInArrow(each, f"doc_id {kind}, {schema}")
+
+
 def components(edges: DataFrame, a: str, b: str, stem: str) -> DataFrame:
     """(node, root) of every node of an undirected graph; ``root`` is the least node of its
     component, the node itself included.
@@ -32,7 +61,8 @@ def components(edges: DataFrame, a: str, b: str, stem: str) -> DataFrame:
     state = _digest(pairs)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = least.select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select("v", F.col("m").alias("u"))
         large = large.distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m"))
@@ -53,7 +83,7 @@ def _digest(pairs: DataFrame) -> tuple:
     """Count and order-free checksum of the edges."""
     h = F.xxhash64("v", "u")
     row = pairs.agg(
-        F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20)), F.sum(F.hash("u", "v"))
+        F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 32)), F.sum(F.hash("u", "v"))
     ).first()
     return tuple(row)
 

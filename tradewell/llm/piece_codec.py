@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tradewell.llm.common import map_texts
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -217,29 +217,24 @@ def encode_documents(
     repeated rows and null ids are kept as they are; an empty table gives no rows. Texts are
     whole, however long. ``model`` is a file name of the public tokenizers or a path.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", "n_tokens", *["ids"] * ids, "ids_sha256", "decoded_sha256"]
-    kinds = [kind, "long", *["array<int>"] * ids, "string", "string"]
+    schema = "n_tokens long, " + "ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string"
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         c = codec(model if "/" in model else model_path(model))
-        for batch in batches:
+
+        def of(texts: list[str]) -> list[list]:
             rows = []
-            for text in batch["text"]:
-                words = c.words(text or "")
+            for text in texts:
+                words = c.words(text)
                 found = [i for x, _ in words for i in x]
                 joined = ",".join([s for _, s in words])
-                rows.append(
-                    (
-                        len(found),
-                        *[found] * ids,
-                        hashlib.sha256(joined.encode()).hexdigest(),
-                        hashlib.sha256(c.decode(found).encode()).hexdigest(),
-                    )
-                )
-            out = pd.DataFrame(rows, columns=names[1:])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(each, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+                rows.append((len(found), *[found] * ids, _sha256(joined), _sha256(c.decode(found))))
+            return [list(column) for column in zip(*rows, strict=True)] if rows else [[]] * (3 + ids)
+
+        return of
+
+    return map_texts(docs, id_col, text_col, work, schema)
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()

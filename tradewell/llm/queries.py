@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewell.llm import piece_codec, secrets
+from tradewell.llm import piece_codec, secrets, simhash
 from tradewell.llm.common import table
 
 
@@ -27,8 +27,16 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), ids=False)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of near-duplicates."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    shown = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", shown.alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op4_piece_codec": op4_piece_codec,
+    "op5_simhash": op5_simhash,
 }
 SQL: dict[str, str] = {}

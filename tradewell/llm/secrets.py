@@ -7,10 +7,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tradewell.llm.common import map_texts
+
 KINDS = ("assign", "access", "hex", "guess")
 
 ASSIGN = re.compile(
@@ -200,23 +201,19 @@ def find_secrets(
     Null and empty texts have no spans; every row stands alone, so repeated rows and null ids are
     kept; an empty table gives no rows. Other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         cost = GuessCost(words)
-        for batch in batches:
-            rows = [
-                [
-                    {"kind": KINDS[k], "start": s, "end": e, "log10_guesses": g}
-                    for s, k, e, g in spans(text or "", cost, min_log10_guesses)
-                ]
-                for text in batch["text"]
-            ]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": rows})
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+        def of(texts: list[str]) -> list[list]:
+            names = ("start", "kind", "end", "log10_guesses")
+            found = [spans(text, cost, min_log10_guesses) for text in texts]
+            return [[[dict(zip(names, (s, KINDS[k], e, g), strict=True)) for s, k, e, g in row] for row in found]]
+
+        return of
+
     span = "struct<kind:string,start:int,end:int,log10_guesses:double>"
-    return rows.mapInPandas(each, f"doc_id {kind}, spans array<{span}>")
+    return map_texts(docs, id_col, text_col, work, f"spans array<{span}>")
 
 
 def span_list(found: Column) -> Column:
