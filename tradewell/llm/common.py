@@ -19,6 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of fixed-width numbers that may be sent to every executor: 16 bytes each, 32 MB in all.
+SMALL_ROWS = 2_000_000
+
+
+def small(written: DataFrame) -> DataFrame:
+    """A written table of one or two numbers a row, marked to be broadcast if it is small.
+
+    Its rows are counted (from the files' footers); beyond the bound the join shuffles.
+    """
+    return F.broadcast(written) if written.count() <= SMALL_ROWS else written
+
+
 def map_texts(
     docs: DataFrame,
     id_col: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewell.llm import piece_codec, secrets, simhash
+from tradewell.llm import line_dedup, piece_codec, quality_gbdt, secrets, simhash
 from tradewell.llm.common import table
 
 
@@ -22,6 +22,24 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that go, where their classes' first lines are, and a digest of what stays."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        "row.doc_id",
+        F.col("n_lines").cast("long").alias("n_lines"),
+        F.size("dropped").cast("long").alias("n_dropped"),
+        F.array_join(F.transform("dropped", lambda i: i.cast("string")), ",").alias("dropped"),
+        "class_ids",
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of boosted trees over statistics of the texts."""
+    return quality_gbdt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the texts decoded from them."""
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), ids=False)
@@ -36,6 +54,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_quality": op3_quality,
     "op4_piece_codec": op4_piece_codec,
     "op5_simhash": op5_simhash,
 }
