@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewell.llm import line_dedup, piece_codec, quality_gbdt, secrets, simhash
+from tradewell.llm import line_dedup, pfair_mix, piece_codec, quality_gbdt, secrets, simhash
 from tradewell.llm.common import table
 
 
@@ -52,11 +52,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in a mix of the sources."""
+    mixed = pfair_mix.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    return mixed.select("row.doc_id", "source", "number", "block", "slot", "place")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
     "op4_piece_codec": op4_piece_codec,
     "op5_simhash": op5_simhash,
+    "op10_pfair_mix": op10_pfair_mix,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_pfair_mix": pfair_mix.SQL}
