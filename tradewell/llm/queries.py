@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewell.llm import line_dedup, pfair_mix, piece_codec, quality_gbdt, secrets, simhash
+from tradewell.llm import line_dedup, pfair_mix, piece_codec, quality_gbdt, quality_rules, secrets, simhash
 from tradewell.llm.common import table
 
 
@@ -52,6 +52,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of the texts, and what base rules and proven cut-offs make of them."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.drop("broken")
+
+
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in a mix of the sources."""
     mixed = pfair_mix.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
@@ -64,6 +70,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_piece_codec": op4_piece_codec,
     "op5_simhash": op5_simhash,
+    "op6_quality_rules": op6_quality_rules,
     "op10_pfair_mix": op10_pfair_mix,
 }
 SQL: dict[str, str] = {"op10_pfair_mix": pfair_mix.SQL}
