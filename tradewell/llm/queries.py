@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewell.llm import line_dedup, pfair_mix, piece_codec, quality_gbdt, quality_rules, secrets, simhash
+from tradewell.llm import line_dedup, pfair_mix, piece_codec, quality_gbdt, quality_rules, secrets, simhash, url_graph
 from tradewell.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("broken")
 
 
+def op9_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on pages by rules, else by what their hosts link to and are linked from."""
+    return url_graph.judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in a mix of the sources."""
     mixed = pfair_mix.mix(table(spark, sf_dir, "documents"), columns=["doc_id"])
@@ -71,6 +76,7 @@ QUERIES = {
     "op4_piece_codec": op4_piece_codec,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
+    "op9_url_graph": op9_url_graph,
     "op10_pfair_mix": op10_pfair_mix,
 }
-SQL: dict[str, str] = {"op10_pfair_mix": pfair_mix.SQL}
+SQL: dict[str, str] = {"op9_url_graph": url_graph.SQL, "op10_pfair_mix": pfair_mix.SQL}
