@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewell.llm import line_dedup, pfair_mix, piece_codec, quality_gbdt, quality_rules, secrets, simhash, url_graph
+from tradewell.llm import ann_tree, line_dedup, pfair_mix, piece_codec, quality_gbdt, quality_rules, secrets, simhash, url_graph
 from tradewell.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("broken")
 
 
+def op7_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return ann_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op9_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on pages by rules, else by what their hosts link to and are linked from."""
     return url_graph.judge_pages(table(spark, sf_dir, "pages"))
@@ -76,6 +81,7 @@ QUERIES = {
     "op4_piece_codec": op4_piece_codec,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
+    "op7_ann_tree": op7_ann_tree,
     "op9_url_graph": op9_url_graph,
     "op10_pfair_mix": op10_pfair_mix,
 }
