@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewell.llm import ann_tree, line_dedup, pfair_mix, piece_codec, quality_gbdt, quality_rules, secrets, simhash, url_graph
+from tradewell.llm import ann_tree, chat_hmm, line_dedup, pfair_mix, piece_codec, quality_gbdt, quality_rules, secrets, simhash, url_graph
 from tradewell.llm.common import table
 
 
@@ -63,6 +64,12 @@ def op7_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op8_chat_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts, parsed line by line into rendered turns."""
+    turns = table(spark, sf_dir, "conversations")
+    return chat_hmm.parse(chat_hmm.transcript_lines(turns), chat_hmm.fit(turns))
+
+
 def op9_url_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on pages by rules, else by what their hosts link to and are linked from."""
     return url_graph.judge_pages(table(spark, sf_dir, "pages"))
@@ -82,7 +89,11 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_ann_tree": op7_ann_tree,
+    "op8_chat_hmm": op8_chat_hmm,
     "op9_url_graph": op9_url_graph,
     "op10_pfair_mix": op10_pfair_mix,
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op9_url_graph": url_graph.SQL, "op10_pfair_mix": pfair_mix.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
