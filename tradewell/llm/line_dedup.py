@@ -82,45 +82,38 @@ def _common(a: str, b: str, n: int) -> int:
     return n
 
 
-def segment_keys(line: Column, limit: int) -> tuple[list[Column], list[Column]]:
-    """(keys of the line's own segments, keys it probes); a key is a hash of a length, the number
-    of a segment and its text.
-
-    A line of length l is cut into limit + 1 segments of nearly equal size. If another line is at
-    most ``limit`` edits away, at least one segment occurs in it unchanged, and close to its own
-    place: segment i of a line shorter by d starts within i - 1 characters of where it did, and,
-    counted from the end, within limit + 1 - i. So lines are probed against lines of their own
-    length or up to ``limit`` shorter, each with a few substrings.
+def probes(limit: int) -> list[tuple[int, int, int]]:
+    """(d, i, shift): a line of length l looks for segment i of lines of length l - d, ``shift``
+    characters from where it starts in such a line; (0, i, 0) are its own segments.
+
+    A line is cut into limit + 1 segments of nearly equal size. If another line is at most
+    ``limit`` edits away, at least one segment occurs in it unchanged, and close to its own place:
+    segment i starts within i characters of it (i from 0) and, counted from the end, within
+    limit - i. So lines are looked for among lines of their own length or up to ``limit`` shorter,
+    each with a few substrings.
     """
-    length = F.char_length(line)
-    own, probes = [], []
+    found = []
     for d in range(limit + 1):
-        size = length - d
-        base, rest = F.floor(size / (limit + 1)).cast("int"), size % (limit + 1)
         for i in range(limit + 1):
-            longer = F.greatest(F.lit(0), rest + (i - limit))  # longer segments before this one
-            start = base * i + longer + 1
-            width = base + F.when(rest + i > limit, 1).otherwise(0)
-            left = max(-i, d - (limit - i))
-            right = min(i, d + (limit - i))
-            for shift in range(left, right + 1):
-                at = start + shift
-                key = F.xxhash64(size, F.lit(i), F.substr(line, at, width))
-                if d == 0 and shift == 0:
-                    own.append(key)
-                else:
-                    probes.append(F.when((at >= 1) & (at + width - 1 <= length), key))
-    return own, probes
+            left, right = max(-i, d - (limit - i)), min(i, d + (limit - i))
+            found += [(d, i, shift) for shift in range(left, right + 1)]
+    return found
 
 
 def _keyed(lines: DataFrame, limit: int) -> DataFrame:
-    """(key, own, h1, h2) for every segment and probe of every line."""
-    own, probes = segment_keys(F.col("line"), limit)
-    keys = F.array(
-        *[F.struct(k.alias("key"), F.lit(True).alias("own")) for k in own],
-        *[F.struct(k.alias("key"), F.lit(False).alias("own")) for k in probes],
-    )
-    return lines.select("h1", "h2", F.explode(keys).alias("k")).select("k.*", "h1", "h2").filter("key is not null")
+    """(key, own, h1, h2) for every own and looked-for segment of every line; a key is a hash of
+    a length, the number of a segment and its text."""
+    n = limit + 1
+    listed = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(p, "dis", strict=True)]) for p in probes(limit)])
+    rows = lines.select("line", "h1", "h2", F.char_length("line").alias("length"), F.explode(listed).alias("p"))
+    rows = rows.select("*", (F.col("length") - F.col("p.d")).alias("size"), "p.i", "p.s")
+    base, rest = F.expr(f"cast(size div {n} as int)"), F.col("size") % n
+    before = F.greatest(F.lit(0), rest + F.col("i") - n)  # longer segments before this one
+    width = base + F.when(rest + F.col("i") > limit, 1).otherwise(0)
+    rows = rows.select("*", (base * F.col("i") + before + 1 + F.col("s")).alias("start"), width.alias("width"))
+    rows = rows.filter("start >= 1 and start + width - 1 <= length")
+    key = F.xxhash64("size", "i", F.substr("line", F.col("start"), F.col("width")))
+    return rows.select(key.alias("key"), ((F.col("p.d") == 0) & (F.col("s") == 0)).alias("own"), "h1", "h2")
 
 
 def _linked(run: pd.DataFrame, limit: int) -> pd.DataFrame | None:
