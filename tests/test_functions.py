@@ -96,3 +96,12 @@ def test_fill_template_prints_missing_values(spark):
 
 def test_score_text(spark):
     assert column(spark, [0.123456, 1.0], "double", text.score_text) == ["0.1235", "1.0000"]
+
+
+def test_sums_are_rounded_once(spark):
+    df = spark.createDataFrame([(0.004,)] * 1000 + [(0.125,), (float("nan"),), (None,)], "a double")
+    row = df.select(numbers.money_sum(F.col("a")), numbers.cents_sum(F.col("a")), numbers.money_avg(F.col("a"))).first()
+    assert tuple(row) == (4.13, 413, 0.0)
+    one = spark.createDataFrame([(0.125,), (-0.125,), (2.675,), (1.005,)], "a double")
+    assert [r[0] for r in one.select(numbers.cents(F.col("a"))).collect()] == [13, -13, 268, 101]
+    assert one.agg(numbers.money_avg(F.col("a"))).first()[0] == 0.92

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF
 from tradewell.config import LakehouseConfig, scratch_root
 from tradewell.operators import gold, silver
 from tradewell.sources import io, schemas, shop
@@ -107,20 +108,58 @@ def test_namespaces(spark):
 
 
 def test_csv_export(spark, tmp_path):
-    series = spark.createDataFrame([("Jan", 1234.5), ('a "b"', 1e8)], "x string, y double")
-    path = tmp_path / "out"
-    io.export_ptbr_csv(series.coalesce(1), str(path), x_title="Mês")
-    text = next(path.glob("*.csv")).read_text(encoding="utf-8")
-    assert text.splitlines() == ['"﻿Mês";"Valor"', '"Jan";"1234,5"', '"a ""b""";"100000000"']
+    series = spark.createDataFrame([("Jan", 1234.5), ('a "b"', 1e8), (None, None)], "x string, y double")
+    path = io.export_ptbr_csv(series, str(tmp_path), "Receita  por Mês", x_title="Mês")
+    assert path == f"{tmp_path}/receita_por_mês.csv"
+    data = (tmp_path / "receita_por_mês.csv").read_bytes()
+    assert data.startswith(b"\xef\xbb\xbfM")
+    assert data.decode("utf-8-sig").splitlines() == ["Mês;Valor", '"Jan";"1234,5"', '"a ""b""";"100000000"', '"null";"null"']
+    assert io.export_ptbr_csv(series.limit(0), str(tmp_path)) == f"{tmp_path}/dados.csv"
+    assert (tmp_path / "dados.csv").read_text("utf-8-sig") == "Categoria;Valor\n"
+
+
+def test_an_order_of_any_length_is_one_row(spark, tmp_path, monkeypatch):
+    """With 2,500 items in one order, totals, counts and items are those of the rows."""
+    from tradewell.operators import gold, silver
+
+    big = spark.read.parquet(f"{SF}/lineitem.parquet")
+    order = spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderstatus = 'F' and o_totalprice between 30000 and 400000")
+    key = order.agg(F.min("o_orderkey")).first()[0]
+    more = big.filter(F.col("l_orderkey") == key).limit(1).crossJoin(spark.range(2500).select(F.col("id").alias("_n"))).drop("_n")
+    plain = shop.table
+
+    def table(spark, sf, name):
+        df = plain(spark, SF, name)
+        return df.unionByName(more) if name == "lineitem" else df
+
+    before = gold.revenue_monthly(silver.silver_orders(shop.raw_orders(spark, SF), ["load_no"])).collect()
+    monkeypatch.setattr(shop, "table", table)
+    nested = silver.silver_orders(shop.raw_orders(spark, SF), ["load_no"])
+    headers = silver.silver_orders(shop.raw_order_headers(spark, SF), ["load_no"])
+    assert sorted(gold.revenue_monthly(nested).collect(), key=str) == sorted(before, key=str)
+    assert sorted(gold.revenue_monthly(headers).collect(), key=str) == sorted(before, key=str)
+    items = shop.raw_items(spark, SF)
+    counted = silver.with_item_count(headers, items).filter(F.col("order_id") == f"ORD-{key}").first()
+    whole = nested.filter(F.col("order_id") == f"ORD-{key}").collect()
+    assert [r.num_items for r in whole] == [counted.num_items] and counted.num_items > 2500
+    flat = silver.order_items(headers, items)
+    assert flat.filter(F.col("order_id") == f"ORD-{key}").count() == counted.num_items
+    assert sorted(map(str, gold.flatten_items(nested).collect())) == sorted(
+        map(str, flat.select("order_id", "order_date", *shop.ITEM_FIELDS).collect())
+    )
+
 
+def test_items_follow_the_load_that_is_kept(spark):
+    from tradewell.operators import silver
 
-def test_long_orders_continue_in_parts(spark):
-    lines = spark.range(2500).select(
-        F.when(F.col("id") < 2400, "big").otherwise("small").alias("o"), F.col("id"), F.lit(1).alias("x")
+    schema = "order_id string, customer_id string, status string, payment_method string, order_date string, total_amount double, load_no int"
+    headers = spark.createDataFrame(
+        [("o", "c", "completed", "pix", "2024-01-01", 9.0, 1), ("o", "c", "completed", "pix", "2024-01-01", 3.0, 2)], schema
     )
-    nested = shop.nest_items(lines, "o", F.struct("id", "x"), "id", max_items=1000)
-    rows = [(r.o, r.items_part, len(r["items"])) for r in nested.collect()]
-    assert sorted(rows) == [("big", 0, 800), ("big", 1, 800), ("big", 2, 800), ("small", 0, 100)]
+    items = spark.createDataFrame([("o", 1, "a"), ("o", 1, "b"), ("o", 2, "c")], "order_id string, load_no int, product_id string")
+    clean = silver.silver_orders(headers, ["load_no"])
+    assert [r.product_id for r in silver.order_items(clean, items).collect()] == ["c"]
+    assert [r.num_items for r in silver.with_item_count(clean, items).collect()] == [1]
 
 
 def test_scratch_root_is_the_shared_folder(spark):

@@ -189,7 +189,8 @@ def test_sources_and_prompts(spark):
     )
     routed = chat.route_questions(questions)
     sources = chat.answer_sources(routed, hits, docs).groupBy("question_id").count().collect()
-    assert {r.question_id: r["count"] for r in sources} == {"a": 4, "b": 1, "c": 1}
+    assert {r.question_id: r["count"] for r in sources} == {"a": 6, "b": 1, "c": 1}
+    assert chat.answer_sources(routed, hits, docs, limit=4).count() == 6
     found = chat.hits_with_text(hits, docs)
     prompts = {r.question_id: r.prompt for r in chat.build_prompts(questions, found).collect()}
     assert set(prompts) == {"a", "b"}
@@ -203,14 +204,22 @@ def test_sources_and_prompts(spark):
     assert cover == {"a": (5, True, True), "b": (5, True, False), "c": (0, False, False)}
 
 
-def test_history_pages(spark):
+def test_history_is_whole(spark):
     turns = spark.createDataFrame(
-        [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in reversed(range(10))] + [(2, 0, "system", None)],
+        [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in reversed(range(700))] + [(2, 0, "system", None)],
         "conv_id bigint, turn bigint, role string, text string",
     )
-    pages = {(r.conv_id, r.page): [(m.role, m.content) for m in r.history] for r in chat.conversation_history(turns, 4).collect()}
-    assert pages[1, 0] == [("user", "m0"), ("model", "m1"), ("user", "m2"), ("model", "m3")]
-    assert len(pages[1, 2]) == 2 and pages[2, 0] == [("model", "")]
+    whole = {r.conv_id: [(m.role, m.content) for m in r.history] for r in chat.conversation_history(turns).collect()}
+    assert whole == {1: [("user" if t % 2 == 0 else "model", f"m{t}") for t in range(700)], 2: [("model", "")]}
+
+
+def test_requests_are_rows_in_order(spark):
+    prompts = spark.createDataFrame([("a", "P"), ("b", "Q")], "question_id string, prompt string")
+    said = spark.createDataFrame([("a", 1, "model", "y"), ("a", 0, "user", "x"), ("z", 0, "user", "?")], "question_id string, turn bigint, role string, content string")
+    rows = chat.chat_requests(prompts, said, "S").orderBy("question_id", "position").collect()
+    assert [(r.question_id, r.role, r.content) for r in rows] == [
+        ("a", "system", "S"), ("a", "user", "x"), ("a", "model", "y"), ("a", "user", "P"), ("b", "system", "S"), ("b", "user", "Q"),
+    ]
 
 
 GOOD = {"chart_type": "line", "x": ["A"], "y": [1.5], "title": "T", "xaxis": "X", "yaxis": "Y"}

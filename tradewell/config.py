@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass
 
@@ -112,7 +113,7 @@ def scratch_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    if re.match(r"local(\[|$)", spark.sparkContext.master):  # one process, as in tests
         app = spark.sparkContext.applicationId
         if app not in _local_scratch:
             _local_scratch[app] = tempfile.mkdtemp(prefix="tradewell-")

@@ -114,6 +114,27 @@ SQL_SOURCE_TEXT = (
 )
 NO_DOCUMENT_REPLY = "❌ Nenhum documento relevante encontrado para sua pergunta."
 MIN_ANSWER_LENGTH = 20
+# System texts of the two ways to ask the model.
+SYSTEM_HYBRID = """Voce e um assistente ERP de analise de dados de e-commerce.
+Responda APENAS com base nos dados fornecidos. Seja conciso e profissional.
+Responda em Portugues Brasileiro (PT-BR). Cite as fontes no final.
+Se a analise contiver ranking/top/serie-temporal, gere um JSON entre *** delimitadores:
+***
+{"chart_type": "bar", "x": ["A","B"], "y": [10,20], "title": "T", "xaxis": "X", "yaxis": "Y"}
+***"""
+SYSTEM_BATCH = """Você é um assistente de análise de dados de e-commerce altamente especializado.
+Seu objetivo é responder perguntas sobre vendas, clientes, produtos e métricas de negócio.
+
+REGRAS IMPORTANTES:
+1. Responda EXCLUSIVAMENTE com base nos dados fornecidos no CONTEXTO abaixo.
+2. Se a informação não estiver disponível no contexto, diga claramente: "Não possuo dados suficientes para responder essa pergunta."
+3. Sempre forneça números, valores e métricas quando disponíveis.
+4. Use formato de moeda brasileira (R$) para valores monetários.
+5. Seja conciso mas completo nas respostas.
+6. Responda sempre em português brasileiro.
+7. Quando listar itens, use formatação organizada com tópicos."""
+MODEL_MAX_TOKENS = 1024
+MODEL_TEMPERATURE = 0.1
 CHART_MARK = "***"
 DEFAULT_CHART_TYPE = "bar"
 

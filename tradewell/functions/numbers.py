@@ -1,7 +1,8 @@
-"""Money arithmetic in whole cents.
+"""Money arithmetic in exact decimals.
 
-Sums of cents do not depend on the order of the rows, and half-up division of whole
-numbers gives one answer on every engine, so a total is the same after any retry.
+Amounts are summed as decimals of six places and rounded once, half-up, at the end. Such sums
+do not depend on the order of the rows, and half-up division of whole numbers gives one answer
+on every engine, so a total is the same after any retry.
 """
 
 from __future__ import annotations
@@ -11,8 +12,28 @@ from pyspark.sql import functions as F
 
 
 def cents(amount: Column) -> Column:
-    """Whole cents of an amount that has two decimals; NaN becomes NULL."""
-    return F.rint(amount * 100).try_cast("bigint")
+    """Whole cents of one amount, rounded half-up; NaN becomes NULL."""
+    return (F.round(exact(amount), 2) * 100).cast("bigint")
+
+
+def exact(amount: Column) -> Column:
+    """The amount as a decimal; NaN becomes NULL."""
+    return amount.try_cast("decimal(20,6)")
+
+
+def cents_sum(amount: Column) -> Column:
+    """Whole cents of the exact sum."""
+    return whole_cents(F.sum(exact(amount)))
+
+
+def whole_cents(total: Column) -> Column:
+    return (F.round(total, 2) * 100).cast("bigint")
+
+
+def cents_avg(total: Column, n: Column) -> Column:
+    """Whole cents of the mean, from an exact sum and a count."""
+    millionths = (total * 1_000_000).cast("decimal(38,0)")
+    return half_up_div(millionths, n.cast("decimal(20,0)") * 10_000)
 
 
 def from_cents(c: Column) -> Column:
@@ -26,13 +47,13 @@ def half_up_div(total: Column, n: Column) -> Column:
 
 
 def money_sum(amount: Column) -> Column:
-    return from_cents(F.sum(cents(amount)))
+    return from_cents(cents_sum(amount))
 
 
 def money_avg(amount: Column) -> Column:
     """Mean of the non-null amounts, rounded half-up to cents."""
-    c = cents(amount)
-    return from_cents(half_up_div(F.sum(c), F.count(c)))
+    a = exact(amount)
+    return from_cents(cents_avg(F.sum(a), F.count(a)))
 
 
 def round_money(c: Column) -> Column:

@@ -1,6 +1,6 @@
 """Aggregated layer: revenue by month, customers, products and KPIs.
 
-Amounts are summed as whole cents (see ``functions.numbers``). Every aggregate is a
+Amounts are summed exactly and rounded once (see ``functions.numbers``). Every aggregate is a
 grouped sum with a map-side partial, so a hot key sends one row per input partition.
 """
 
@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from tradewell import fixed_values as fv
 from tradewell.functions.numbers import (
-    cents,
+    cents_avg,
+    cents_sum,
+    exact,
     from_cents,
     half_up_div,
     money_avg,
     money_sum,
     round_money,
+    whole_cents,
 )
 from tradewell.operators.ranking import global_rank
 from tradewell.sources.io import materialize
@@ -91,14 +94,14 @@ def revenue_summary(orders: DataFrame, calendar_gaps: bool = False) -> DataFrame
 
 
 def customer_totals(orders: DataFrame) -> DataFrame:
-    c = cents(F.col("total_amount"))
+    amount = F.col("total_amount")
     return (
         completed_only(orders)
         .groupBy("customer_id")
         .agg(
-            F.sum(c).alias("_revenue"),
+            cents_sum(amount).alias("_revenue"),
             F.count("order_id").alias("total_orders"),
-            from_cents(half_up_div(F.sum(c), F.count(c))).alias("avg_ticket"),
+            money_avg(amount).alias("avg_ticket"),
             F.min("order_date").alias("first_order_date"),
             F.max("order_date").alias("last_order_date"),
         )
@@ -125,7 +128,7 @@ def product_totals(items: DataFrame) -> DataFrame:
     """Per product; ``num_orders`` counts item rows and the price mean is unweighted."""
     return items.groupBy("product_id").agg(
         F.sum("quantity").alias("total_quantity"),
-        F.sum(cents(F.col("item_total"))).alias("_revenue"),
+        cents_sum(F.col("item_total")).alias("_revenue"),
         F.count("order_id").alias("num_orders"),
         money_avg(F.col("unit_price")).alias("avg_unit_price"),
     )
@@ -177,16 +180,16 @@ def kpi_by_category(items: DataFrame, products: DataFrame) -> DataFrame:
     The lines are first reduced to one row per (order, category), which both counts the
     orders exactly and keeps a hot category from gathering its lines in one task.
     """
-    c = cents(F.col("item_total"))
+    amount = exact(F.col("item_total"))
     per_order = (
         enrich(items, products, "product_id", ["category"])
         .groupBy("category", "order_id")
-        .agg(F.sum(c).alias("_cents"), F.count(c).alias("_lines"))
+        .agg(F.sum(amount).alias("_sum"), F.count(amount).alias("_lines"))
     )
     per_category = per_order.groupBy("category").agg(
         F.count("order_id").alias("total_orders"),
-        from_cents(F.sum("_cents")).alias("total_revenue"),
-        from_cents(half_up_div(F.sum("_cents"), F.sum("_lines"))).alias("avg_ticket"),
+        from_cents(whole_cents(F.sum("_sum"))).alias("total_revenue"),
+        from_cents(cents_avg(F.sum("_sum"), F.sum("_lines"))).alias("avg_ticket"),
     )
     return tag_kpi(per_category, "category", fv.KPI_TYPES["category"])
 
@@ -198,14 +201,6 @@ def union_kpis(*parts: DataFrame) -> DataFrame:
     return merged
 
 
-def kpis(orders: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
-    """The three breakdowns in one table. Payment and category look at completed orders,
-    status at all of them, so they stay three aggregates."""
-    return union_kpis(
-        kpi_by_payment(orders), kpi_by_status(orders), kpi_by_category(items, products)
-    )
-
-
 def headline_of(customer_totals: DataFrame, units: Column) -> DataFrame:
     """The headline row from totals per customer and a scalar number of units sold."""
     revenue, orders = F.sum("_revenue"), F.sum("total_orders")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,64 +147,38 @@ def standardize_column_names(df: DataFrame) -> DataFrame:
 _TIMESTAMPS = ("_processed_timestamp", "_ingestion_timestamp", "_created_timestamp")
 
 
+def _table_state(spark: SparkSession, name: str) -> tuple[int, object, bool]:
+    """(records, latest load, broken) of one table; one that can't be found or read is broken."""
+    try:
+        df = spark.table(name)
+        stamp = next((c for c in _TIMESTAMPS if c in df.columns), None)
+        last = ts_text(F.max(stamp)) if stamp else F.lit(None).cast("string")
+        records, when = df.agg(F.count("*"), last).first()
+        return records, when, False
+    except (PySparkException, Py4JJavaError):
+        return 0, None, True
+
+
 def layer_status(
     spark: SparkSession, steps: Sequence[LayerStep], index_ready: bool = False
 ) -> DataFrame:
     """Per step: status, records (NULL when none) and latest load time.
 
-    A step without tables stands for the search index. A table that cannot be found
-    makes its step an error, and the other tables still count.
+    A step without tables stands for the search index. Each table is counted by a job of its
+    own, so one that can't be found or read makes its step an error and the others still count.
+    One row of counts per table comes back.
     """
-    parts = []
+    rows = []
     for position, step in enumerate(steps):
-        head = [
-            F.lit(position).alias("position"),
-            F.lit(step.name).alias("name"),
-            F.lit(step.description).alias("description"),
-        ]
-        known = [t for t in step.tables if spark.catalog.tableExists(t)]
-        broken = len(known) < len(step.tables)
-        for name in known:
-            df = spark.table(name)
-            stamp = next((c for c in _TIMESTAMPS if c in df.columns), None)
-            last = F.max(stamp) if stamp else F.lit(None).cast("timestamp")
-            parts.append(
-                df.agg(F.count("*").alias("records"), last.alias("last")).select(
-                    *head, "records", "last", F.lit(broken).alias("broken"), F.lit(False).alias("service")
-                )
-            )
-        if not known:
-            parts.append(
-                spark.range(1).select(
-                    *head,
-                    F.lit(0).cast("bigint").alias("records"),
-                    F.lit(None).cast("timestamp").alias("last"),
-                    F.lit(broken).alias("broken"),
-                    F.lit(not step.tables).alias("service"),
-                )
-            )
-    merged = (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("position", "name", "description")
-        .agg(
-            F.sum("records").alias("records"),
-            F.max("last").alias("last"),
-            F.bool_or("broken").alias("broken"),
-            F.bool_or("service").alias("service"),
-        )
-    )
-    service_status = F.lit("success" if index_ready else "warning")
-    service_note = F.lit("Endpoint ativo" if index_ready else "Endpoint não verificado")
-    return merged.select(
-        "position",
-        "name",
-        "description",
-        F.when(F.col("service"), service_status)
-        .when(F.col("broken"), "error")
-        .otherwise("success")
-        .alias("status"),
-        F.when(F.col("records") > 0, F.col("records")).alias("records"),
-        F.when(F.col("service"), service_note)
-        .otherwise(F.coalesce(ts_text(F.col("last")), F.lit(fv.NOT_RUN)))
-        .alias("last_run"),
+        states = [_table_state(spark, name) for name in step.tables]
+        records = sum(n for n, _, _ in states)
+        last = max((when for _, when, _ in states if when), default=fv.NOT_RUN)
+        if not step.tables:
+            status = "success" if index_ready else "warning"
+            last = "Endpoint ativo" if index_ready else "Endpoint não verificado"
+        else:
+            status = "error" if any(broken for _, _, broken in states) else "success"
+        rows.append((position, step.name, step.description, status, records or None, last))
+    return spark.createDataFrame(
+        rows, "position int, name string, description string, status string, records bigint, last_run string"
     )

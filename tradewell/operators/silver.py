@@ -101,15 +101,14 @@ def silver_orders(
     bronze: DataFrame,
     latest_by: Sequence[str] = ("_ingestion_timestamp",),
     normalize_first: bool = False,
-    keys: Sequence[str] = ("order_id",),
 ) -> DataFrame:
-    """Clean orders with their nested items.
+    """Clean orders, one row per order, with their nested items if they have them.
 
     ``num_items`` is NULL for an order without an item array. The status is checked as
     stored, before lower-casing, but after the newest version of the order was chosen.
     """
     keyed = require_keys(bronze, ["order_id"])
-    single = dedupe_latest(keyed, keys, _latest(latest_by, keyed))
+    single = dedupe_latest(keyed, ["order_id"], _latest(latest_by, keyed))
     owned = require_keys(single, ["customer_id"])
     valid = in_domain(owned, "status", fv.ORDER_STATUSES, normalize_first)
     clean = valid.withColumns(
@@ -125,6 +124,18 @@ def silver_orders(
     return drop_metadata(with_date_parts(clean, "order_date"))
 
 
+def order_items(orders: DataFrame, items: DataFrame, load: str = "load_no") -> DataFrame:
+    """The item rows of clean orders: those of the load whose header was kept."""
+    kept = orders.select("order_id", load, "order_date")
+    return items.join(kept, ["order_id", load])
+
+
+def with_item_count(orders: DataFrame, items: DataFrame, load: str = "load_no") -> DataFrame:
+    """``num_items`` of orders whose items are rows; NULL for an order without items."""
+    counts = items.groupBy("order_id", load).agg(F.count("*").cast("int").alias("num_items"))
+    return orders.join(counts, ["order_id", load], "left")
+
+
 def silver_findings(orders: DataFrame, products: DataFrame) -> DataFrame:
     """Rows the cleaning kept with a doubtful value: orders without a readable date and
     products at the price floor."""

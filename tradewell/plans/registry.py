@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewell.config import tune
-from tradewell.plans import shop_queries, shop_sql, text_queries, text_sql
+from tradewell.plans import layered, layered_sql, shop_queries, shop_sql, text_queries, text_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,5 +21,5 @@ def _tuned(query: Query) -> Query:
     return run
 
 
-QUERIES = {n: _tuned(q) for n, q in {**shop_queries.QUERIES, **text_queries.QUERIES}.items()}
-SQL = {**shop_sql.SQL, **text_sql.SQL}
+QUERIES = {n: _tuned(q) for n, q in {**shop_queries.QUERIES, **text_queries.QUERIES, **layered.QUERIES}.items()}
+SQL = {**shop_sql.SQL, **text_sql.SQL, **layered_sql.SQL}

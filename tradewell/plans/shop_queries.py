@@ -53,7 +53,6 @@ def bronze_customers(spark: SparkSession, sf: str) -> DataFrame:
 def bronze_orders_nested(spark: SparkSession, sf: str) -> DataFrame:
     return shop.raw_orders(spark, sf).select(
         "order_id",
-        "items_part",
         "load_no",
         "customer_id",
         "customer_name",
@@ -99,31 +98,37 @@ def _kpi_chart(spark: SparkSession, sf: str) -> DataFrame:
     """Two charts per KPI breakdown and one over the months, as points."""
     kpis = _kpis(spark, sf)
     months = gold.revenue_monthly(shop.completed_orders(spark, sf))
-    return (
-        kpis.select(
+    # Both charts of a KPI row come from that row, so the KPIs are computed once.
+    both = F.array(
+        F.struct(
             F.concat(F.lit("Receita por  "), "kpi_type").alias("title"),
             F.col("dimension_value").alias("x"),
             F.col("total_revenue").alias("y"),
-        )
-        .unionByName(
-            kpis.select(
-                F.concat(F.lit("Quantidade de pedidos por "), "kpi_type").alias("title"),
-                F.col("dimension_value").alias("x"),
-                F.col("total_orders").cast("double").alias("y"),
-            )
-        )
-        .unionByName(
-            months.select(
-                F.lit("Receita Mensal").alias("title"),
-                F.col("order_year_month").alias("x"),
-                F.col("total_revenue").alias("y"),
-            )
-        )
+        ),
+        F.struct(
+            F.concat(F.lit("Quantidade de pedidos por "), "kpi_type").alias("title"),
+            F.col("dimension_value").alias("x"),
+            F.col("total_orders").cast("double").alias("y"),
+        ),
+    )
+    monthly = months.select(
+        F.lit("Receita Mensal").alias("title"),
+        F.col("order_year_month").alias("x"),
+        F.col("total_revenue").alias("y"),
     )
+    return kpis.select(F.explode(both).alias("p")).select("p.*").unionByName(monthly)
+
+
+def _brand_chart(spark: SparkSession, sf: str) -> DataFrame:
+    """Stock per brand, with a missing label and labels that hold quotes."""
+    size = F.col("p_size")
+    label = F.when(size == 2, F.concat(F.lit('"'), "p_brand", F.lit('"'))).when(size != 1, F.col("p_brand"))
+    stock = shop.table(spark, sf, "part").groupBy(label.alias("x")).agg(F.sum("p_size").cast("double").alias("y"))
+    return stock.select(F.lit("Estoque por marca").alias("title"), "x", "y")
 
 
 def export_ptbr_csv_rows(spark: SparkSession, sf: str) -> DataFrame:
-    charts = _kpi_chart(spark, sf)
+    charts = _kpi_chart(spark, sf).unionByName(_brand_chart(spark, sf))
     lines = io.csv_lines(charts, "x", "y")
     return lines.select(
         F.concat(slug(F.col("title"), fv.CSV_FILE_NAME), F.lit(".csv")).alias("file_name"), "line"
@@ -149,7 +154,7 @@ def silver_products(spark: SparkSession, sf: str) -> DataFrame:
 
 def silver_orders(spark: SparkSession, sf: str) -> DataFrame:
     bronze = io.add_ingestion_metadata(shop.raw_orders(spark, sf), "orders.json")
-    clean = silver.silver_orders(bronze, ["load_no"], keys=("order_id", "items_part"))
+    clean = silver.silver_orders(bronze, ["load_no"])
     return clean.withColumn("items", _text_of_items("items")).withColumnRenamed("items", "items_text")
 
 
@@ -189,8 +194,11 @@ def standardize_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_items_flat(spark: SparkSession, sf: str) -> DataFrame:
-    orders = shop.raw_orders(spark, sf)
-    return gold.flatten_items(orders.withColumn("order_date", parse_date(F.col("order_date"))))
+    """Items of the completed refined orders, as rows from the start."""
+    done = gold.completed_only(silver.silver_orders(shop.raw_order_headers(spark, sf), ["load_no"]))
+    return silver.order_items(done, shop.raw_items(spark, sf)).select(
+        "order_id", "order_date", *shop.ITEM_FIELDS
+    )
 
 
 # --- checks ------------------------------------------------------------------
@@ -244,15 +252,19 @@ def table_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def layer_status(spark: SparkSession, sf: str) -> DataFrame:
-    """Status over named tables. The document table is not there, and the customer
-    table of the second step is empty."""
+    """Status over named tables. The raw orders carry load times, one table is missing, and the
+    files of the document table are not what its schema says."""
+    broken = f"{scratch_root(spark)}/broken-{uuid.uuid4().hex}"
+    shop.table(spark, sf, "nation").select("n_name").write.text(broken)
+    loaded = F.try_to_timestamp("order_date", F.lit("yyyy-MM-dd"))
     tables = {
         "tw_bronze_customers": shop.raw_customers(spark, sf),
         "tw_bronze_products": shop.raw_products(spark, sf),
-        "tw_bronze_orders": shop.raw_order_headers(spark, sf),
-        "tw_silver_customers": shop.customers(spark, sf).filter("customer_id IS NULL"),
+        "tw_bronze_orders": shop.raw_order_headers(spark, sf).withColumn("_ingestion_timestamp", loaded),
+        "tw_silver_customers": shop.customers(spark, sf),
         "tw_gold_revenue": gold.revenue_summary(shop.completed_orders(spark, sf)),
         "tw_gold_kpis": _kpis(spark, sf),
+        "tw_documents": spark.read.schema("doc_id string, text string").parquet(broken),
     }
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
@@ -260,10 +272,13 @@ def layer_status(spark: SparkSession, sf: str) -> DataFrame:
         LayerStep("01_bronze", "raw", ("tw_bronze_customers", "tw_bronze_products", "tw_bronze_orders")),
         LayerStep("02_silver", "refined", ("tw_silver_customers",)),
         LayerStep("03_gold", "aggregated", ("tw_gold_revenue", "tw_gold_kpis", "tw_gold_missing")),
-        LayerStep("04_documents", "documents", ("tw_documents_missing",)),
+        LayerStep("04_documents", "documents", ("tw_documents",)),
         LayerStep("05_chat", "index", ()),
     ]
-    return quality.layer_status(spark, steps)
+    status = quality.layer_status(spark, steps)
+    for name in tables:
+        spark.catalog.dropTempView(name)
+    return status
 
 
 # --- aggregates --------------------------------------------------------------

@@ -155,7 +155,7 @@ CTE = {
 }
 
 # Which of the pieces above each piece reads.
-_NEEDS = {
+NEEDS = {
     "done": ["ord"],
     "itm": ["done"],
     "monthly": ["done"],
@@ -179,19 +179,25 @@ _NEEDS = {
 }
 
 
-def with_ctes(names: list[str], body: str, extra: dict[str, str] | None = None) -> str:
+def with_ctes(
+    names: list[str],
+    body: str,
+    extra: dict[str, str] | None = None,
+    ctes: dict[str, str] = CTE,
+    needs: dict[str, list[str]] = NEEDS,
+) -> str:
     """``WITH`` the named pieces and all they need, then ``extra`` pieces, then ``body``."""
     order: list[str] = []
 
     def visit(name: str) -> None:
-        for need in _NEEDS.get(name, []):
+        for need in needs.get(name, []):
             visit(need)
         if name not in order:
             order.append(name)
 
     for name in names:
         visit(name)
-    pieces = [f"{n} AS ({CTE[n]})" for n in order]
+    pieces = [f"{n} AS ({ctes[n]})" for n in order]
     pieces += [f"{n} AS ({sql})" for n, sql in (extra or {}).items()]
     return (f"WITH {', '.join(pieces)} " if pieces else "") + dedent(body)
 
@@ -275,7 +281,7 @@ SQL = {
     "bronze_customers": with_ctes(["rawc"], "SELECT *, 'customers.json' AS _source_file FROM rawc"),
     "bronze_orders_nested": with_ctes(
         ["raw", "nested"],
-        """SELECT raw.order_id, 0 AS items_part, load_no, customer_id, customer_name, order_date, status,
+        """SELECT raw.order_id, load_no, customer_id, customer_name, order_date, status,
         payment_method, total_amount, CAST(num_items AS INTEGER) AS num_items, items_text
         FROM raw LEFT JOIN nested ON raw.order_id = nested.order_id""",
     ),
@@ -293,7 +299,9 @@ SQL = {
     "export_ptbr_csv_rows": with_ctes(
         ["charts"],
         f"""SELECT lower(regexp_replace(title, '\\s+', '_', 'g')) || '.csv' AS file_name,
-        '"' || x || '";"' || replace({plain('y')}, '.', ',') || '"' AS line FROM charts""",
+        '"' || replace(coalesce(x, 'null'), '"', '""') || '";"' || replace({plain('y')}, '.', ',') || '"' AS line
+        FROM (SELECT * FROM charts UNION ALL SELECT 'Estoque por marca', CASE p_size WHEN 1 THEN NULL
+          WHEN 2 THEN '"' || p_brand || '"' ELSE p_brand END, CAST(sum(p_size) AS DOUBLE) FROM part GROUP BY 1, 2)""",
     ),
     "chart_series": with_ctes(
         ["charts"],
@@ -316,7 +324,7 @@ SQL = {
     "silver_products": with_ctes(["cleanp"], "SELECT * FROM cleanp"),
     "silver_orders": with_ctes(
         ["cleano", "nested"],
-        f"""SELECT cleano.order_id, 0 AS items_part, customer_id, customer_name, order_date, status,
+        f"""SELECT cleano.order_id, customer_id, customer_name, order_date, status,
         payment_method, total_amount, load_no, CAST(num_items AS INTEGER) AS num_items, items_text,
         {DATE_PARTS} FROM cleano LEFT JOIN nested ON cleano.order_id = nested.order_id""",
     ),
@@ -340,10 +348,10 @@ SQL = {
     "standardize_columns": """SELECT c_custkey AS customer_key, c_name AS h_t_t_p_server_name,
       c_nationkey AS nation_key, c_acctbal AS pre_o, c_mktsegment AS market_segment FROM customer""",
     "order_items_flat": with_ctes(
-        ["raw", "line"],
-        """SELECT raw.order_id, CAST(try_strptime(order_date, '%Y-%m-%d') AS DATE) AS order_date,
-        product_id, product_name, CAST(quantity AS INTEGER) AS quantity, uc / 100 AS unit_price,
-        c / 100 AS item_total FROM line JOIN raw ON line.order_id = raw.order_id""",
+        ["cleano", "line"],
+        """SELECT cleano.order_id, order_date, product_id, product_name,
+        CAST(quantity AS INTEGER) AS quantity, uc / 100 AS unit_price, c / 100 AS item_total
+        FROM line JOIN cleano ON line.order_id = cleano.order_id WHERE status = 'completed'""",
     ),
     "dq_duplicates": with_ctes(
         ["rawc"],
@@ -366,8 +374,9 @@ SQL = {
         ["rawc", "rawp", "raw", "monthly", "kpis"],
         """SELECT 0 AS position, '01_bronze' AS name, 'raw' AS description, 'success' AS status,
         (SELECT count(*) FROM rawc) + (SELECT count(*) FROM rawp) + (SELECT count(*) FROM raw) AS records,
-        '—' AS last_run UNION ALL
-        SELECT 1, '02_silver', 'refined', 'success', NULL, '—' UNION ALL
+        (SELECT strftime(max(try_strptime(order_date, '%Y-%m-%d')), '%Y-%m-%d %H:%M:%S') FROM raw)
+          AS last_run UNION ALL
+        SELECT 1, '02_silver', 'refined', 'success', (SELECT count(*) FROM customer), '—' UNION ALL
         SELECT 2, '03_gold', 'aggregated', 'error',
         (SELECT count(*) FROM monthly) + (SELECT count(*) FROM kpis), '—' UNION ALL
         SELECT 3, '04_documents', 'documents', 'error', NULL, '—' UNION ALL

@@ -66,14 +66,27 @@ def docs_period_short(spark: SparkSession, sf: str) -> DataFrame:
     return documents.revenue_docs(sq.gold_revenue_summary(spark, sf), "short")
 
 
+def _held_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The index as an older build left it: an entry for every customer, with the short
+    sentence of those who bought, products and months as now, and no KPIs."""
+    short = docs_customers_short(spark, sf).select("doc_id", "text")
+    every = shop.customers(spark, sf).select(
+        F.concat(F.lit("customer_"), F.col("customer_id")).alias("doc_id"), "customer_name"
+    )
+    customers = every.join(short, "doc_id", "left").select("doc_id", F.coalesce("text", "customer_name").alias("text"))
+    others = docs_products(spark, sf).unionByName(docs_revenue(spark, sf)).select("doc_id", "text")
+    return customers.unionByName(others).select("doc_id", "text", index_sync.text_hash().alias("text_hash"))
+
+
 def doc_index_sync_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Sync of customer documents: the index saw the orders before 2000, the source has
-    those since 1997."""
-    orders = shop.completed_orders(spark, sf)
-    source = _short_customers(spark, sf, orders.filter("order_date >= '1997-01-01'"))
-    held = _short_customers(spark, sf, orders.filter("order_date < '2000-01-01'"))
-    current = held.select("doc_id", index_sync.text_hash().alias("text_hash"))
-    return index_sync.index_sync_plan(source, current)
+    """Sync of the whole document table with what the index holds."""
+    return index_sync.index_sync_plan(docs_corpus(spark, sf), _held_documents(spark, sf))
+
+
+def doc_index_after_sync(spark: SparkSession, sf: str) -> DataFrame:
+    source = docs_corpus(spark, sf).select("doc_id", "text")
+    after = index_sync.apply_sync(source, _held_documents(spark, sf), lambda fresh: fresh)
+    return after.select("doc_id", "text_hash")
 
 
 # --- questions and documents -------------------------------------------------
@@ -91,23 +104,15 @@ def user_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = shop.table(spark, sf, "documents").select(
-        "doc_id", F.col("lang").alias("doc_type"), "text"
-    )
-    return io.spread(docs, "doc_id")
+    return shop.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("doc_type"), "text")
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.retrieve(user_questions(spark, sf), text_documents(spark, sf))
 
 
-def _most_hits(spark: SparkSession, sf: str) -> int:
-    """A bound of the hits, from a count of the questions alone."""
-    return fv.TOP_K * user_questions(spark, sf).count()
-
-
 def _found(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
-    return chat.hits_with_text(hits, text_documents(spark, sf), _most_hits(spark, sf))
+    return chat.hits_with_text(hits, text_documents(spark, sf))
 
 
 def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,7 +147,7 @@ def route_questions(spark: SparkSession, sf: str) -> DataFrame:
 def answer_sources(spark: SparkSession, sf: str) -> DataFrame:
     routed = chat.route_questions(user_questions(spark, sf))
     docs, hits = text_documents(spark, sf), _hits(spark, sf)
-    return chat.answer_sources(routed, hits, docs, at_most=_most_hits(spark, sf))
+    return chat.answer_sources(routed, hits, docs)
 
 
 def prompt_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,11 +178,21 @@ def conversation_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_history(spark: SparkSession, sf: str) -> DataFrame:
-    pages = chat.conversation_history(shop.table(spark, sf, "conversations"))
+    whole = chat.conversation_history(shop.table(spark, sf, "conversations"))
     said = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
-    return pages.select(
-        "conv_id", "page", F.size("history").alias("messages"), F.array_join(said, "\n").alias("history_text")
+    return whole.select(
+        "conv_id", F.size("history").alias("messages"), F.array_join(said, "\n").alias("history_text")
+    )
+
+
+def chat_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of all questions; a user turn carries the turns of its conversation before it."""
+    turns = shop.table(spark, sf, "conversations")
+    asked = turns.filter("role = 'user'").select(
+        "conv_id", F.col("turn").alias("_at"), F.concat_ws("_", "conv_id", "turn").alias("question_id")
     )
+    said = chat.history_turns(turns).join(asked, "conv_id").filter("turn < _at")
+    return chat.chat_requests(prompt_batch_hybrid(spark, sf), said)
 
 
 def retrieval_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -287,6 +302,7 @@ QUERIES = {
     "docs_products_short": docs_products_short,
     "docs_period_short": docs_period_short,
     "doc_index_sync_plan": doc_index_sync_plan,
+    "doc_index_after_sync": doc_index_after_sync,
     "lexical_topk": lexical_topk,
     "retrieve_for_questions": retrieve_for_questions,
     "route_questions": route_questions,
@@ -296,6 +312,7 @@ QUERIES = {
     "exact_context": exact_context,
     "conversation_turns": conversation_turns,
     "conversation_history": conversation_history,
+    "chat_requests": chat_requests,
     "retrieval_coverage": retrieval_coverage,
     "extract_chart": extract_chart,
     "vector_topk": vector_topk,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tradewell import fixed_values as fv
 from tradewell.plans.shop_sql import CTE, brl, plain, with_ctes
 
 
@@ -174,21 +175,22 @@ SQL = {
         FROM summary""",
     ),
     "doc_index_sync_plan": with_ctes(
-        ["done", "cust"],
+        [*CORPUS_NEEDS, "ctot", "cust"],
         """SELECT coalesce(src.doc_id, cur.doc_id) AS doc_id,
         CASE WHEN cur.doc_id IS NULL THEN 'insert' WHEN src.doc_id IS NULL THEN 'delete'
           WHEN src.text = cur.text THEN 'same' ELSE 'update' END AS action
         FROM src FULL JOIN cur ON src.doc_id = cur.doc_id""",
         {
-            name: short_customers(
-                CTE["ctot"].replace("FROM done", f"FROM (SELECT * FROM done WHERE {when})")
-            )
-            for name, when in (
-                ("src", "order_date >= '1997-01-01'"),
-                ("cur", "order_date < '2000-01-01'"),
-            )
+            "src": CORPUS,
+            "short": short_customers("SELECT * FROM ctot"),
+            "cur": """SELECT 'customer_' || customer_id AS doc_id, coalesce(short.text, customer_name) AS text
+              FROM cust LEFT JOIN short ON short.doc_id = 'customer_' || customer_id
+              UNION ALL SELECT doc_id, text FROM src WHERE doc_type IN ('product', 'revenue')""",
         },
     ),
+    "doc_index_after_sync": with_ctes(
+        CORPUS_NEEDS, "SELECT doc_id, sha256(text) AS text_hash FROM corpus", {"corpus": CORPUS}
+    ),
     "lexical_topk": with_ctes([], "SELECT * FROM hits", LEXICAL),
     "retrieve_for_questions": with_ctes(
         [],
@@ -207,7 +209,7 @@ SQL = {
         SELECT hits.question_id, rank + 1, CAST(hits.doc_id AS VARCHAR), documents.text, score
         FROM hits JOIN documents ON hits.doc_id = documents.doc_id
         JOIN uq ON uq.question_id = hits.question_id
-        WHERE rank <= 3 AND NOT {ANALYTICAL.replace('text', 'uq.text')}""",
+        WHERE NOT {ANALYTICAL.replace('text', 'uq.text')}""",
         LEXICAL,
     ),
     "prompt_batch": with_ctes(
@@ -228,9 +230,9 @@ SQL = {
     "exact_context": with_ctes(["topc", "topp", "headline"], CONTEXT),
     "conversation_turns": """SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user' ELSE 'model' END AS role,
       text AS content FROM conversations""",
-    "conversation_history": """SELECT conv_id, turn // 256 AS page, CAST(count(*) AS INTEGER) AS messages,
+    "conversation_history": """SELECT conv_id, CAST(count(*) AS INTEGER) AS messages,
       string_agg(CASE role WHEN 'user' THEN 'user' ELSE 'model' END || ': ' || text, '\n' ORDER BY turn)
-        AS history_text FROM conversations GROUP BY 1, 2""",
+        AS history_text FROM conversations GROUP BY 1""",
     "retrieval_coverage": with_ctes(
         [],
         """SELECT uq.question_id, coalesce(n, 0) AS documents,
@@ -259,3 +261,11 @@ SQL = {
       CASE WHEN len({tokens('text')}) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS length FROM documents""",
 }
 SQL["vector_topk_cells"] = SQL["vector_topk"]
+
+SYSTEM = fv.SYSTEM_HYBRID.replace("'", "''")
+SQL["chat_requests"] = f"""WITH prompts AS ({SQL['prompt_batch_hybrid']})
+SELECT question_id, -1 AS position, 'system' AS role, '{SYSTEM}' AS content FROM prompts UNION ALL
+SELECT q.conv_id || '_' || q.turn, t.turn, CASE t.role WHEN 'user' THEN 'user' ELSE 'model' END, t.text
+  FROM conversations q JOIN conversations t ON q.conv_id = t.conv_id AND t.turn < q.turn
+  WHERE q.role = 'user' UNION ALL
+SELECT question_id, 4611686018427387904, 'user', prompt FROM prompts"""

@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tradewell import fixed_values as fv
 from tradewell.config import scratch_root
-from tradewell.functions.ptbr import decimal_comma
+from tradewell.functions.ptbr import decimal_comma, slug
 
 CORRUPT = "_corrupt_record"
 
@@ -50,16 +50,6 @@ def add_ingestion_metadata(df: DataFrame, source: str | Column) -> DataFrame:
     return df.withColumns({"_ingestion_timestamp": F.current_timestamp(), "_source_file": name})
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a scan with fewer splits than cores over all cores.
-
-    For texts, where the work per row is large. A large input has many splits and is
-    returned as it is, so texts are shuffled only when there is little of them.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
@@ -108,34 +98,48 @@ def run_sql(
     return spark.sql(query, args=args, **frames)
 
 
+def _csv_text(x: Column) -> Column:
+    """A quoted value: inner quotes doubled, a missing value as the text ``null``."""
+    text = F.replace(F.coalesce(x.cast("string"), F.lit("null")), F.lit('"'), F.lit('""'))
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
 def csv_lines(series: DataFrame, x: str, y: str) -> DataFrame:
     """The body lines of the spreadsheet export of an ``(x, y)`` series."""
     return series.withColumn(
-        "line",
-        F.concat(F.lit('"'), F.col(x), F.lit('";"'), decimal_comma(F.col(y)), F.lit('"')),
+        "line", F.concat(_csv_text(F.col(x)), F.lit(";"), _csv_text(decimal_comma(F.col(y))))
     )
 
 
 def export_ptbr_csv(
     series: DataFrame,
-    path: str,
+    folder: str,
+    title: str | None = None,
     x: str = "x",
     y: str = "y",
     x_title: str = "",
     y_title: str = "",
-) -> None:
-    """Write ``x;y`` files a pt-BR spreadsheet opens: ``;`` separator, decimal comma,
-    quoted values, and a byte-order mark in front of the header of every file."""
-    header = f"﻿{x_title or fv.CSV_X_HEADER}"
-    (
-        series.select(
-            F.col(x).cast("string").alias(header),
-            decimal_comma(F.col(y)).alias(y_title or fv.CSV_Y_HEADER),
-        )
-        .write.mode("overwrite")
-        .option("sep", ";")
-        .option("quoteAll", True)
-        .option("escape", '"')
-        .option("header", True)
-        .csv(path)
-    )
+) -> str:
+    """Write the ``x;y`` file of one chart that a pt-BR spreadsheet opens, named by the slug of
+    its title, and return its path.
+
+    The file starts with the byte-order mark and the unquoted header; values are quoted, with a
+    decimal comma. A chart is what a person looks at, so its points are one file; ``series`` may
+    be ordered.
+    """
+    spark = series.sparkSession
+    header = f"\ufeff{x_title or fv.CSV_X_HEADER};{y_title or fv.CSV_Y_HEADER}"
+    body = csv_lines(series, x, y).select(F.monotonically_increasing_id().alias("_n"), "line")
+    top = spark.createDataFrame([(-1, header)], "_n bigint, line string")
+    part = f"{folder}/.{uuid.uuid4().hex}"
+    top.unionByName(body).coalesce(1).sortWithinPartitions("_n").select("line").write.text(part)
+    name = spark.range(1).select(slug(F.lit(title or ""), fv.CSV_FILE_NAME)).first()[0]
+    target = f"{folder}/{name}.csv"
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    there = files.Path(part)
+    system = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    written = next(f.getPath() for f in system.listStatus(there) if f.getPath().getName().startswith("part-"))
+    system.delete(files.Path(target), False)
+    system.rename(written, files.Path(target))
+    system.delete(there, True)
+    return target

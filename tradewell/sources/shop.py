@@ -8,6 +8,8 @@ in front of every aggregate, and filters reach the Parquet scan.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from tradewell.functions.numbers import cents, from_cents, half_up_div
 from tradewell.functions.text import with_date_parts
 
 CANCELLED_BELOW = 25000.0
-MAX_ITEMS_PER_ROW = 1000
+ITEM_FIELDS = ("product_id", "product_name", "quantity", "unit_price", "item_total")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -222,52 +224,45 @@ def raw_order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(second)
 
 
-def nest_items(
-    lines: DataFrame,
-    order_id: str,
-    item: Column,
-    row_no: str,
-    max_items: int = MAX_ITEMS_PER_ROW,
-) -> DataFrame:
-    """Item arrays per order: ``(order_id, items_part, items)``.
+def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of every raw order as rows of their own, keyed by ``(order_id, load_no)``.
 
-    An order normally is one row with ``items_part`` 0. An order with more than
-    ``max_items`` items continues in further parts, so no array, row or task grows with
-    the largest order. Items are sorted inside a part. ``row_no`` spreads the items of
-    such an order; it must be fixed at the scan, so a repeated task deals them alike.
+    A load that repeats an order repeats its items, so both sides of an order come from the
+    same load. Amounts of the order are on its header only.
     """
-    counts = lines.groupBy(order_id).agg(
-        F.ceil(F.count("*") / F.lit(max_items)).alias("_parts")
-    )
-    return (
-        lines.withColumn("_item", item)
-        .select(order_id, "_item", row_no)
-        .join(counts, order_id)
-        .withColumn("items_part", F.pmod(row_no, "_parts").cast("int"))
-        .groupBy(order_id, "items_part")
-        .agg(F.sort_array(F.collect_list("_item")).alias("items"))
+    headers = raw_order_headers(spark, sf_dir).select("order_id", "load_no")
+    return _shop_items(spark, sf_dir).join(headers, "order_id").select(
+        "order_id", "load_no", *ITEM_FIELDS
     )
 
 
-def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw orders with nested items, as the order file has them."""
+def _shop_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    lines = (
+    return (
         table(spark, sf_dir, "lineitem")
-        .withColumn("row_no", F.monotonically_increasing_id())
         .join(names, F.col("l_partkey") == F.col("p_partkey"), "left")
-        .withColumn("order_id", _key("ORD", "l_orderkey"))
-    )
-    item = F.struct(
-        _key("PROD", "l_partkey").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        F.col("l_quantity").cast("int").alias("quantity"),
-        _unit_price().alias("unit_price"),
-        F.col("l_extendedprice").alias("item_total"),
-    )
-    nested = nest_items(lines, "order_id", item, "row_no")
-    return (
-        raw_order_headers(spark, sf_dir)
-        .join(nested, "order_id", "left")
-        .withColumn("items_part", F.coalesce("items_part", F.lit(0)))
+        .select(
+            _key("ORD", "l_orderkey").alias("order_id"),
+            _key("PROD", "l_partkey").alias("product_id"),
+            F.col("p_name").alias("product_name"),
+            F.col("l_quantity").cast("int").alias("quantity"),
+            _unit_price().alias("unit_price"),
+            F.col("l_extendedprice").alias("item_total"),
+        )
     )
+
+
+def nest_items(items: DataFrame, keys: Sequence[str] = ("order_id",)) -> DataFrame:
+    """One row per order with the array of all its items, in the order of their values.
+
+    The array is the result here, as in the order file, where an order with all its items is
+    one record. Totals, counts and flat items are made from item rows, without an array.
+    """
+    item = F.struct(*ITEM_FIELDS)
+    return items.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
+def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw orders with nested items, one row per order and load, as the order file has them."""
+    nested = nest_items(_shop_items(spark, sf_dir))
+    return raw_order_headers(spark, sf_dir).join(nested, "order_id", "left")
