@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from fractions import Fraction
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tradewell.llm import queries, quality_rules
@@ -38,6 +39,19 @@ def test_query_has_the_measures_of_every_text(spark, sf):
         assert not (got[doc_id].base_failed and got[doc_id].kept)
 
 
+def test_chosen_rules_equal_sql(spark, sf):
+    """With a loose bound, so that few labels prove something."""
+    con = duckdb.connect()
+    sf = sf.replace("sf0.001", "sf0.01")
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(quality_rules.sql(0.5, 0.2)).fetchall()
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = [tuple(r) for r in judge(docs, labels, max_rejected=0.5, chance=0.2).drop("broken").collect()]
+    assert sorted(got) == sorted(want)
+    assert any(not base and not kept for *_, base, kept in got)
+
+
 def test_binomial_tail_is_exact(spark):
     cases = [(k, n) for n in (1, 5, 40, 700, 4000) for k in (0, 1, 2, 7, 15) if k <= n * 0.004]
     rows = spark.createDataFrame(cases, "k long, n long")

@@ -202,3 +202,58 @@ def judge(
     judged = joined.withColumn("broken", broken).withColumn("base_failed", base_failed())
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return judged.select(*names, (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken")
+
+
+def sql(max_rejected: float = MAX_REJECTED, chance: float = CHANCE) -> str:
+    """The same in SQL, windows of words compared as lists."""
+    white, some = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
+    share = max_rejected / len(CUTOFFS)
+    per = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / {b} ELSE 0.0 END"
+    values = {
+        "symbols_per_word": per("n_symbols", "n_words"),
+        "dup_line_share": per("n_dup_lines", "n_lines"),
+        "repeat_word_share": per("n_repeat_words", "n_words"),
+        "long_words": per("word_chars", "n_words"),
+        "short_words": f"-({per('word_chars', 'n_words')})",
+    }
+    measured = " UNION ALL ".join(f"SELECT rid, '{n}' AS rule, {v} AS v FROM m" for n, v in values.items())
+    cutoffs = ", ".join(f"('{n}', CAST({c} AS DOUBLE))" for n, cs in CUTOFFS.items() for c in cs)
+    tests = sum(map(len, CUTOFFS.values()))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, coalesce(text, '') AS t,
+  regexp_extract_all(coalesce(text, ''), '{white}') AS words FROM documents),
+w AS (SELECT rid, i, list_slice(words, i, i + {WINDOW - 1}) AS g
+  FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM d)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM w) WHERE n > 1),
+p AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + k AS at
+  FROM (SELECT rid, i, unnest(range({WINDOW})) AS k FROM r)) GROUP BY rid),
+m AS (SELECT d.rid, doc_id, stratum, len(words) AS n_words,
+  CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+  len(regexp_extract_all(t, '{SYMBOLS}')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+  coalesce(p.n, 0) AS n_repeat_words,
+  len(words) < {MIN_WORDS} OR 100 * coalesce(p.n, 0) > 20 * len(words) AS base_failed
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{some}')) AS lines FROM d) d
+  LEFT JOIN p ON p.rid = d.rid),
+v AS ({measured}),
+c(rule, cutoff) AS (VALUES {cutoffs}),
+l AS (SELECT doc_id, min(quality) AS y FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY 1),
+s AS (SELECT stratum, c.rule, cutoff, count(*) FILTER (y = 1) AS n,
+  count(*) FILTER (y = 1 AND v > cutoff) AS k, count(*) FILTER (y = 0 AND v > cutoff) AS bad
+  FROM m JOIN l ON m.doc_id = l.doc_id JOIN v ON v.rid = m.rid JOIN c ON c.rule = v.rule
+  WHERE NOT base_failed GROUP BY ALL),
+b AS (SELECT *, CASE WHEN k > n * {share!r} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(
+    lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({share!r}) + (n - i) * ln(1 - {share!r})))) END AS tail,
+  (SELECT count(*) FROM (SELECT DISTINCT stratum FROM s)) * {tests} AS tests FROM s WHERE n > 0),
+x AS (SELECT stratum, rule, cutoff, row_number() OVER (
+    PARTITION BY stratum, rule ORDER BY bad - {GOOD_WORTH} * k DESC, cutoff DESC) AS r
+  FROM b WHERE tail <= {chance!r} / tests AND bad - {GOOD_WORTH} * k > 0),
+o AS (SELECT DISTINCT m.rid FROM m JOIN x ON x.r = 1 AND m.stratum IS NOT DISTINCT FROM x.stratum
+  JOIN v ON v.rid = m.rid AND v.rule = x.rule AND v.v > x.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND o.rid IS NULL AS kept
+FROM m LEFT JOIN o ON o.rid = m.rid
+"""
+
+
+SQL = sql()

@@ -94,6 +94,10 @@ QUERIES = {
     "op10_pfair_mix": op10_pfair_mix,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op9_url_graph": url_graph.SQL, "op10_pfair_mix": pfair_mix.SQL}
+SQL: dict[str, str] = {
+    "op6_quality_rules": quality_rules.SQL,
+    "op9_url_graph": url_graph.SQL,
+    "op10_pfair_mix": pfair_mix.SQL,
+}
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
