@@ -277,11 +277,12 @@ def vector_topk_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The values of every document's vector that are not zero, a row for each."""
     docs = text_documents(spark, sf)
-    embedded = retrieval.hashing_embedder(retrieval.fit_idf(docs))(docs)
-    squares = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    return embedded.select(
-        "doc_id", F.size("vec").alias("dimensions"), F.round(F.sqrt(squares), 3).alias("length")
+    embedded = retrieval.hashing_embedder(retrieval.fit_idf(docs))(docs.select("doc_id", "text"))
+    values = embedded.select("doc_id", F.size("vec").alias("dimensions"), F.posexplode("vec").alias("place", "v"))
+    return values.filter("v <> 0").select(
+        "doc_id", "dimensions", "place", F.round(F.col("v").cast("double"), 5).alias("value")
     )
 
 

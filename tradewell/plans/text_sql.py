@@ -146,6 +146,31 @@ EXTRACT = {
       AND {_text_ok('title')} AND {_text_ok('xaxis')} AND {_text_ok('yaxis')} AS ok FROM pts""",
 }
 
+
+
+def _vector_sql(key: str, source: str) -> str:
+    """(key, place, value) of the hashed TF-IDF vectors of a table's texts."""
+    return f"""SELECT key AS {key}, place, CAST(v / sqrt(sum(v * v) OVER (PARTITION BY key)) AS FLOAT) AS value
+      FROM (SELECT t.key, t.place, n * ln((1 + (SELECT count(*) FROM documents)) / (1 + coalesce(df, 0))) AS v
+        FROM (SELECT key, place, count(*) AS n FROM ({_places_sql(key, source)}) GROUP BY 1, 2) t
+        LEFT JOIN dfreq ON dfreq.place = t.place)"""
+
+
+def _places_sql(key: str, source: str) -> str:
+    return f"""SELECT {key} AS key, CAST('0x' || substr(md5(unnest({tokens('text')})), 1, 8) AS BIGINT) % 1024
+      AS place FROM {source}"""
+
+
+def _length_sql(key: str, source: str) -> str:
+    return f"""SELECT *, sqrt(sum(CAST(value AS DOUBLE) * CAST(value AS DOUBLE)) OVER (PARTITION BY {key})) AS len
+      FROM {source} WHERE value <> 0"""
+
+
+EMBEDDED = {
+    "dfreq": f"SELECT place, count(DISTINCT key) AS df FROM ({_places_sql('doc_id', 'documents')}) GROUP BY 1",
+    "dvec": _vector_sql("doc_id", "documents"),
+}
+
 SQL = {
     "docs_customers": with_ctes(["topc"], DOC["customer"]),
     "docs_products": with_ctes(["topp"], DOC["product"]),
@@ -257,8 +282,27 @@ SQL = {
       FROM (SELECT q.vec_id AS question_id, d.vec_id AS doc_id, round(list_cosine_similarity(
         CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score
         FROM embeddings q, embeddings d WHERE q.vec_id <> d.vec_id)) WHERE rank <= 5""",
-    "embed_documents": f"""SELECT doc_id, 1024 AS dimensions,
-      CASE WHEN len({tokens('text')}) > 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS length FROM documents""",
+    "embed_documents": with_ctes(
+        [],
+        """SELECT doc_id, 1024 AS dimensions, place, round(CAST(value AS DOUBLE), 5) AS value
+        FROM dvec WHERE value <> 0""",
+        EMBEDDED,
+    ),
+    "retrieve_by_vector": with_ctes(
+        [],
+        """SELECT question_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (
+          PARTITION BY question_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM (
+          SELECT q.question_id, d.doc_id, round(sum(CAST(q.value AS DOUBLE) * CAST(d.value AS DOUBLE))
+            / max(q.len) / max(d.len), 6) AS score
+          FROM qlen q JOIN dlen d ON q.place = d.place GROUP BY 1, 2) WHERE score > 0) WHERE rank <= 5""",
+        {
+            **EMBEDDED,
+            "uq": QUESTIONS,
+            "qvec": _vector_sql("question_id", "uq"),
+            "qlen": _length_sql("question_id", "qvec"),
+            "dlen": _length_sql("doc_id", "dvec"),
+        },
+    ),
 }
 SQL["vector_topk_cells"] = SQL["vector_topk"]
 
