@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_of
 from tradewell.operators import block_topk, chat, documents, index_sync, lexical, retrieval, vector_cells
 
 
@@ -70,9 +71,19 @@ def test_blocks_do_not_change_the_result(spark, texts, monkeypatch):
     assert {(r.question_id, r.doc_id, r.score, r.rank) for r in got} == brute_lexical(*texts, 5)
 
 
-def test_squared_length(spark):
-    row = spark.createDataFrame([(["b", "a", "b", "b", "c"],), ([],)], "w array<string>")
-    assert [r[0] for r in row.select(lexical.squared_length(F.col("w"))).collect()] == [11, 0]
+def test_terms_are_counted_in_the_row(spark):
+    rows = [(["b", "a", "b", "b", "c"],), ([],), (["z"],), (["é", "e", "é"],)]
+    df = spark.createDataFrame(rows, "w array<string>")
+    got = [[(x.term, x.n) for x in r[0]] for r in df.select(lexical.term_runs(F.col("w"))).collect()]
+    assert got == [[("a", 1), ("b", 3), ("c", 1)], [], [("z", 1)], [("e", 1), ("é", 2)]]
+
+
+def test_no_token_is_shuffled_before_it_is_counted(spark):
+    docs = spark.createDataFrame([(1, "a b a")], "doc_id bigint, text string")
+    vocabulary = spark.createDataFrame([("a",)], "term string").repartition(2)
+    weights = lexical.document_weights(docs, vocabulary)
+    assert [(r.doc_id, r.term, round(r.w, 6)) for r in weights.collect()] == [(1, "a", round(2 / 5**0.5, 6))]
+    assert "HashAggregate" not in plan_of(weights)
 
 
 def test_long_documents_count_to_the_last_word(spark):

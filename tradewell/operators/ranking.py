@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _SAMPLES_PER_BUCKET = 16
-_MAX_BUCKETS = 1024
+_MAX_BUCKETS = 8192
 _LAST = 2**63 - 1
 
 

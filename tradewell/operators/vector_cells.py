@@ -35,7 +35,9 @@ from tradewell.sources.io import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-N_CELLS = 64
+#: Cells at least; a larger table has one for so many rows.
+N_CELLS, ROWS_PER_CELL = 64, 65_536
+_ROWS = 1024
 # Squared distance that a difference in the last rounded digit of a score can hide.
 _SLACK = 4e-6
 
@@ -58,10 +60,12 @@ def distances(vectors: pd.Series, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * unit @ pivots.T, 0))
 
 
-def build_cells(docs: DataFrame, k: int, n_cells: int = N_CELLS) -> Cells:
-    """Deal ``(doc_id, vec)`` to cells. The pivots and k + 1 distances per cell come to
-    the driver, whatever the number of documents."""
+def build_cells(docs: DataFrame, k: int, n_cells: int | None = None) -> Cells:
+    """Deal ``(doc_id, vec)`` to cells, as many as the number of documents asks for. The pivots
+    and k + 1 distances per cell come to the driver."""
     nonzero = docs.filter(F.exists("vec", lambda v: v != 0)).select("doc_id", "vec")
+    if n_cells is None:
+        n_cells = max(N_CELLS, docs.count() // ROWS_PER_CELL)
     picked = nonzero.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_cells).collect()
     if not picked:
         return Cells(nonzero.withColumn("cell", F.lit(0)), np.empty((0, 0)), [], np.empty(0), np.empty((0, 0)))
@@ -94,13 +98,17 @@ def visited(questions: DataFrame, cells: Cells, k: int, skip_same: bool = False)
 
     @F.pandas_udf("array<int>")
     def reachable(vectors: pd.Series) -> pd.Series:
-        d = distances(vectors, pivots)
-        found = []
-        for row in d:
-            reach = np.sort((row[:, None] + nearest).ravel())[wanted - 1 : wanted]
-            limit = reach[0] if len(reach) else np.inf
-            closest = np.maximum(row - radius, 0)
-            found.append(np.flatnonzero(filled & (closest**2 <= limit**2 + _SLACK)).astype("int32"))
+        if not len(pivots):
+            return pd.Series([np.empty(0, "int32")] * len(vectors))
+        found: list[np.ndarray] = []
+        for first in range(0, len(vectors), _ROWS):
+            d = distances(vectors.iloc[first : first + _ROWS], pivots)
+            reach = (d[:, :, None] + nearest).reshape(len(d), -1)
+            # Cells hold k + 1 distances each, so there are as many as are wanted.
+            limit = np.partition(reach, wanted - 1, axis=1)[:, wanted - 1 : wanted]
+            near = filled & (np.maximum(d - radius, 0) ** 2 <= limit**2 + _SLACK)
+            cells_of = np.nonzero(near)[1].astype("int32")
+            found += np.split(cells_of, near.sum(axis=1).cumsum()[:-1])
         return pd.Series(found)
 
     nonzero = questions.filter(F.exists("vec", lambda v: v != 0))
@@ -112,7 +120,7 @@ def vector_topk_cells(
     docs: DataFrame,
     k: int = fv.TOP_K,
     skip_same: bool = False,
-    n_cells: int = N_CELLS,
+    n_cells: int | None = None,
 ) -> DataFrame:
     """``(question_id, doc_id, score, rank)`` by cosine of ``vec``, exact."""
     cells = build_cells(docs, k, n_cells)

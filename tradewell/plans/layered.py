@@ -81,7 +81,7 @@ def pipeline_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def pipeline_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """The Gold sentences that answer the questions, with their types."""
-    docs = io.materialize(_sentences(spark, sf), "gold-documents")
+    docs = io.materialize(documents.stamped(_sentences(spark, sf)), "gold-documents")
     hits = retrieval.retrieve(user_questions(spark, sf), docs)
     return chat.hits_with_text(hits, docs).select("question_id", "rank", "doc_id", "doc_type", "text", F.round("score", 6).alias("score"))
 

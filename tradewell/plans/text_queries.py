@@ -66,26 +66,30 @@ def docs_period_short(spark: SparkSession, sf: str) -> DataFrame:
     return documents.revenue_docs(sq.gold_revenue_summary(spark, sf), "short")
 
 
-def _held_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The index as an older build left it: an entry for every customer, with the short
-    sentence of those who bought, products and months as now, and no KPIs."""
+def _source_and_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The whole document table, written once, and the index as an older build left it: an entry
+    for every customer, with the short sentence of those who bought, products and months as now,
+    and no KPIs."""
+    source = io.materialize(docs_corpus(spark, sf), "documents")
     short = docs_customers_short(spark, sf).select("doc_id", "text")
     every = shop.customers(spark, sf).select(
         F.concat(F.lit("customer_"), F.col("customer_id")).alias("doc_id"), "customer_name"
     )
-    customers = every.join(short, "doc_id", "left").select("doc_id", F.coalesce("text", "customer_name").alias("text"))
-    others = docs_products(spark, sf).unionByName(docs_revenue(spark, sf)).select("doc_id", "text")
-    return customers.unionByName(others).select("doc_id", "text", index_sync.text_hash().alias("text_hash"))
+    customers = every.join(short, "doc_id", "left").select(
+        "doc_id", F.coalesce("text", "customer_name").alias("text")
+    )
+    others = source.filter(F.col("doc_type").isin("product", "revenue")).select("doc_id", "text")
+    held = customers.unionByName(others).withColumn("text_hash", index_sync.text_hash())
+    return source.select("doc_id", "text"), held
 
 
 def doc_index_sync_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Sync of the whole document table with what the index holds."""
-    return index_sync.index_sync_plan(docs_corpus(spark, sf), _held_documents(spark, sf))
+    return index_sync.index_sync_plan(*_source_and_index(spark, sf))
 
 
 def doc_index_after_sync(spark: SparkSession, sf: str) -> DataFrame:
-    source = docs_corpus(spark, sf).select("doc_id", "text")
-    after = index_sync.apply_sync(source, _held_documents(spark, sf), lambda fresh: fresh)
+    after = index_sync.apply_sync(*_source_and_index(spark, sf), lambda fresh: fresh)
     return after.select("doc_id", "text_hash")
 
 
@@ -104,7 +108,10 @@ def user_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return shop.table(spark, sf, "documents").select("doc_id", F.col("lang").alias("doc_type"), "text")
+    docs = shop.table(spark, sf, "documents").select(
+        "doc_id", F.col("lang").alias("doc_type"), "text"
+    )
+    return io.spread(docs, "doc_id")
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
