@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SMALL_ROWS = 2_000_000
 
 
-def small(written: DataFrame) -> DataFrame:
+def small(written: DataFrame, rows: int | None = None) -> DataFrame:
     """A written table of one or two numbers a row, marked to be broadcast if it is small.
 
-    Its rows are counted (from the files' footers); beyond the bound the join shuffles.
+    Its rows are counted (from the files' footers); of a table of lists ``rows`` is the number of
+    their elements. Beyond the bound the join shuffles.
     """
-    return F.broadcast(written) if written.count() <= SMALL_ROWS else written
+    rows = written.count() if rows is None else rows
+    return F.broadcast(written) if rows <= SMALL_ROWS else written
 
 
 def map_texts(

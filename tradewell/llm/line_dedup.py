@@ -228,7 +228,8 @@ def dedup_lines(
         F.collect_list("at").alias("dropped"), F.array_sort(F.collect_set("class_id")).alias("class_ids")
     )
     gone = materialize(gone, "lines-gone")
-    rows = _keys(docs, id_col, text_col, packed(docs, "row")).join(gone, ["id", "tag"], "left")
+    n = gone.agg(F.sum(F.size("dropped") + F.size("class_ids"))).first()[0] or 0
+    rows = _keys(docs, id_col, text_col, packed(docs, "row")).join(small(gone, n), ["id", "tag"], "left")
     lines = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
     # The split text is bound to a name, as a function's body is evaluated for each element.
