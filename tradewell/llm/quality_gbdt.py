@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewell.llm.common import map_texts, packed
+from tradewell.llm.common import map_texts, packed, small
 from tradewell.sources.io import materialize
 
 #: Labelled rows that are fitted, those whose id hashes least; the bound on what is collected.
@@ -246,7 +246,11 @@ def classify(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that ``classify`` does not reject, with all their columns."""
+    """The documents that ``classify`` does not reject, with all their columns.
+
+    What is rejected is an id and a hash of the text; while that is small it goes to the texts,
+    beyond the bound of ``small`` both are shuffled.
+    """
     rows = docs.select(
         packed(docs, "row"),
         F.col(f"`{text_col}`").alias("text"),
@@ -260,4 +264,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     bad = score(features, trees).filter("predicted = 0")
     bad = materialize(bad.select("doc_id.*").distinct(), "quality-rejected")
     same = rows["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(rows["text"]) == bad["tag"])
-    return rows.join(bad, same, "left_anti").select("row.*")
+    return rows.join(small(bad), same, "left_anti").select("row.*")
