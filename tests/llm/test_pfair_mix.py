@@ -65,6 +65,35 @@ def test_whole_stream(spark, monkeypatch):
     mixed.unpersist()
 
 
+@pytest.mark.parametrize("m, hot, n", [(20, 10, 900), (60, 30, 900), (3, 1.5, 500)])
+def test_lag_from_the_weights_over_many_periods(spark, m, hot, n):
+    """Over some tens of periods no source is a block away from the weight it was given."""
+    weights = {"hot": hot, **{f"s{i}": 1 + i % 2 / 10 for i in range(m - 1)}}
+    total = sum(Fraction(str(w)) for w in weights.values())
+    counts = {s: int(n * Fraction(str(w)) / total * 10) for s, w in weights.items()}
+    got = mix(docs(spark, counts), weights=weights, block_docs=1, period=100).select("source", "slot").collect()
+    assert len(got) == len({r.slot for r in got}) == sum(counts.values())
+    done, at = dict.fromkeys(weights, 0), {r.slot: r.source for r in got}
+    first_empty = next(t for t in range(10**6) if t not in at)
+    assert first_empty > 0.9 * len(got)
+    for t in range(first_empty):
+        done[at[t]] += 1
+        for s, w in weights.items():
+            assert abs(done[s] - Fraction(str(w)) * (t + 1) / total) < 1, (s, t)
+
+
+def test_a_source_that_lasts_longest_keeps_its_weight(spark, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "JOB_ROUNDS", 2)
+    weights, counts = {"a": 10**4, "b": 1, None: 2}, {"a": 300, "b": 40, None: 60}
+    got = mix(docs(spark, counts), weights=weights, block_docs=1, period=50).collect()
+    assert {s: sum(r.source == s for r in got) for s in counts} == counts
+    total = sum(weights.values())
+    for r in got:
+        w = weights[r.source]
+        assert r.number * total // w <= r.slot < -(-(r.number + 1) * total // w)
+    assert len({r.slot for r in got}) == len(got)
+
+
 def by_sql(rows):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tradewell.llm.common import packed
+from tradewell.llm.common import packed, small
 from tradewell.sources.io import materialize
 
 #: Documents of a block: what a source gives in one slot.
 BLOCK_DOCS = 16
-#: Slots after which the schedule repeats; weights are rounded to whole slots of that many.
+#: Slots of a round: sources that ran out are left out of the rounds that follow.
 PERIOD = 5000
+#: Rounds that one job gives out before it writes how far each source is.
+JOB_ROUNDS = 20
+#: Weights that are not small whole numbers, or multiples of such, are rounded to this many parts of the largest.
+WEIGHT_PARTS = 10**9
 #: Documents of a source that are numbered in one task.
 RANGE_DOCS = 50_000
 
@@ -29,24 +36,92 @@ def source_weights(counts: DataFrame, weights: Mapping[str | None, float] | None
         return counts.withColumn("w", F.floor(1000 * F.sqrt(F.col("n").cast("double"))).cast("long"))
     if any(v < 0 for v in weights.values()) or not any(weights.values()):
         raise ValueError("weights must not be negative, and one must be positive")
-    top = max(weights.values())
-    given = counts.sparkSession.createDataFrame(
-        [(k, round(10**6 * v / top)) for k, v in weights.items()], "given string, w long"
-    )
+    given = counts.sparkSession.createDataFrame(list(_whole(weights).items()), "given string, w long")
     same = counts["source"].eqNullSafe(given["given"])
     return counts.join(given, same, "left").select("source", "n", F.coalesce("w", F.lit(0)).alias("w"))
 
 
+def _whole(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in the given proportions, as written in decimals if they have few digits."""
+    exact = {k: Fraction(str(v)) for k, v in weights.items()}
+    unit = math.lcm(*[v.denominator for v in exact.values()])
+    top = max(exact.values())
+    if top * unit > WEIGHT_PARTS:
+        return {k: max(round(WEIGHT_PARTS * v / top), int(v > 0)) for k, v in exact.items()}
+    part = math.gcd(*[int(v * unit) for v in exact.values()])
+    return {k: int(v * unit) // part for k, v in exact.items()}
+
+
+def schedule(weighted: DataFrame, period: int = PERIOD) -> DataFrame:
+    """(source, k, slot) of all blocks of ``weighted`` (source, w, blocks); ``k`` from 0.
+
+    With W the sum of the weights, block k of a source of weight w is released at slot
+    floor(k W / w) and due before slot ceil((k + 1) W / w). Slot by slot, the released block that
+    is due first gets the slot (ties: the source that sorts first, null before all). The rates
+    w / W add up to one, so all blocks are in time, and after any number of slots a source that
+    has blocks left is less than one block from its weight's part, however long the stream is.
+
+    A source that ran out keeps its slots, empty, to the end of the round of ``period`` slots
+    given out; then it is left out, and slots for which no block is released are skipped. The
+    schedule is made in order: what a source got is the only state, written after each job of
+    ``JOB_ROUNDS`` rounds, so a task holds a bounded number of slots.
+    """
+    live = weighted.filter("w > 0").withColumn("total", F.sum("w").over(Window.partitionBy(F.lit(0))))
+    live = live.withColumn("until", F.expr("(blocks * total + w - 1) div w"))
+    state = live.agg(
+        F.max("total").alias("total"),
+        F.max("until").alias("until"),
+        F.array_sort(F.collect_list(F.struct("source", "w", "blocks"))).alias("s"),
+    )
+    state = state.filter("size(s) > 0").selectExpr("*", "0L AS t", "transform(s, x -> 0L) AS done")
+    parts = []
+    while not parts or parts[-1].filter("size(filter(s, (x, i) -> done[i] < x.blocks)) > 0").count():
+        state = state.withColumn("ran", F.expr(_rounds(period)))
+        state = materialize(
+            state.select("total", "until", "s", "ran.t", "ran.done", F.flatten("ran.out").alias("out")), "mix-state"
+        )
+        parts.append(state)
+    given = [p.select("s", F.explode("out").alias("g")) for p in parts]
+    given = reduce(DataFrame.unionByName, given)
+    return given.select(F.col("s")[F.col("g.i")]["source"].alias("source"), "g.k", "g.slot")
+
+
+def _rounds(period: int) -> str:
+    """SQL of (t, done, out) after a job: the next slot, blocks given to each source, and for each
+    round the blocks that there are, with their slots."""
+    place = """
+        array_min(transform(live, i -> struct(
+            greatest(b.t, (b.done[i] * total) div s[i].w) AS slot,
+            ((b.done[i] + 1) * total + s[i].w - 1) div s[i].w AS due,
+            i AS i)))"""
+    one = f"""
+        transform(array({place}), c -> struct(
+            c.slot + 1 AS t,
+            transform(b.done, (d, i) -> IF(i = c.i, d + 1, d)) AS done,
+            IF(b.done[c.i] < s[c.i].blocks,
+               concat(b.out, array(struct(c.slot AS slot, c.i AS i, b.done[c.i] AS k))), b.out) AS out))[0]"""
+    none = "cast(array() AS array<struct<slot:bigint,i:int,k:bigint>>)"
+    turn = f"""
+        transform(array(filter(sequence(0, size(s) - 1), i -> a.done[i] < s[i].blocks)), live ->
+            IF(size(live) = 0, struct(a.t AS t, a.done AS done, {none} AS out), aggregate(
+                sequence(1L, least({int(period)}L, greatest(until - a.t, 1L))),
+                struct(a.t AS t, a.done AS done, {none} AS out),
+                (b, x) -> {one})))[0]"""
+    return f"""
+        aggregate(
+            sequence(1L, least({JOB_ROUNDS}L, greatest((until - t + {int(period) - 1}) div {int(period)}, 1L))),
+            struct(t AS t, done AS done, cast(array() AS array<array<struct<slot:bigint,i:int,k:bigint>>>) AS out),
+            (a, r) -> transform(array({turn}), e -> struct(
+                e.t AS t, e.done AS done, concat(a.out, array(e.out)) AS out))[0])"""
+
+
 def slots(weighted: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, n, share, k, slot): the ``share`` slots of each source in one period, ``k`` from 0.
+    """(source, n, share, p, k, slot): one period of whole slots, by weights rounded to it.
 
     Each weight above zero gets one slot and the rest is dealt in proportion, left-over slots to
     the largest remainders; if there are more sources than a tenth of ``period``, the period is
-    ten times their number. A source with share s has s blocks in a period of p slots; block k is
-    released at slot floor(k p / s) and due before slot ceil((k + 1) p / s). Slot by slot, the
-    released block that is due first gets the slot (ties: the source that sorts first, null
-    before all). As shares add up to p, all blocks are in time, so after any number of slots a
-    source is less than one block from its weight's part.
+    ten times their number. ``SQL`` repeats such a period. ``mix`` does not: a rounded share is up
+    to a block off in every period, which adds up.
     """
     live = weighted.filter("w > 0")
     every = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -65,29 +140,11 @@ def slots(weighted: DataFrame, period: int = PERIOD) -> DataFrame:
     shares = dealt.select(
         "source", "n", "p", (F.col("base") + (F.row_number().over(order) <= over).cast("long")).alias("share")
     )
-    listed = shares.agg(
-        F.max("p").alias("p"), F.array_sort(F.collect_list(F.struct("source", "share", "n"))).alias("s")
-    )
-    picked = listed.filter("size(s) > 0").withColumn(
-        "picks",
-        F.expr("""
-            aggregate(
-              sequence(0L, p - 1),
-              struct(array_repeat(0L, size(s)) AS done, cast(array() AS array<int>) AS out),
-              (a, t) -> transform(array(array_min(transform(
-                  filter(sequence(0, size(s) - 1),
-                         i -> a.done[i] < s[i].share AND (a.done[i] * p) div s[i].share <= t),
-                  i -> struct(((a.done[i] + 1) * p + s[i].share - 1) div s[i].share AS due, i AS i)
-                ))),
-                c -> struct(transform(a.done, (d, i) -> IF(i = c.i, d + 1, d)) AS done,
-                            concat(a.out, array(c.i)) AS out))[0],
-              a -> a.out)
-        """),
-    )
-    placed = picked.select("p", "s", F.posexplode("picks").alias("slot", "i"))
-    placed = placed.select("p", "slot", "i", F.col("s")[F.col("i")].alias("s"))
-    nth = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
-    return placed.select("s.source", "s.n", "s.share", "p", nth.cast("long").alias("k"), F.col("slot").cast("long"))
+    shares = materialize(shares, "mix-shares")
+    placed = schedule(shares.select("source", F.col("share").alias("w"), F.col("share").alias("blocks")), period)
+    placed = placed.withColumnRenamed("source", "of")
+    met = shares["source"].eqNullSafe(placed["of"])
+    return shares.join(placed, met).select("source", "n", "share", "p", "k", "slot")
 
 
 def _named(name: str) -> Column:
@@ -106,16 +163,16 @@ def mix(
 ) -> DataFrame:
     """Every document with its place in the mix: ``row`` (its columns, or those named), ``source``,
     ``number`` in its source (from 0), ``block`` of its source, ``slot`` of the mix, ``place`` in
-    the block, ``share`` and ``period``. Ordered by (slot, place) the rows are the mixed stream.
+    the block, and its source's weight: ``share`` slots of each ``period`` slots. Ordered by (slot, place) the rows are the mixed stream.
 
     Documents of a source come in the order of a digest of id and text, rows equal in both in any
-    order. Nothing is dropped: when a source has no blocks left its slots stay empty, and up to
-    the first such slot each source is less than a block from its weight. Sources of weight zero
-    have no slot (null) and come last. A null source is a source. A null id or text counts as
-    empty. An empty table gives no rows.
+    order. Nothing is dropped: when a source has no blocks left its slots stay empty. At any slot
+    each source that has blocks left is less than a block from its weight; see ``schedule``.
+    Sources of weight zero have no slot (null) and come last. A null source is a source. A null id
+    or text counts as empty. An empty table gives no rows.
 
     A source is numbered in ranges of the digest, as many as its count asks for, so a source with
-    a third of all rows is many tasks; the schedule of one period is what all tasks share.
+    a third of all rows is many tasks; the schedule, a row for each block, is made in order.
     """
     rows = docs.select(
         packed(docs.select(*columns) if columns else docs, "row"),
@@ -129,7 +186,9 @@ def mix(
         ).alias("digest"),
     )
     counts = materialize(rows.groupBy("source").agg(F.count("*").alias("n")), "mix-counts")
-    plan = materialize(slots(source_weights(counts, weights), period), "mix-slots")
+    weighted = materialize(source_weights(counts, weights), "mix-weights")
+    blocks = F.ceil(F.col("n") / F.lit(int(block_docs))).cast("long").alias("blocks")
+    plan = materialize(schedule(weighted.select("source", "w", blocks), period), "mix-slots")
 
     ranges = F.ceil(F.col("n") / F.lit(RANGE_DOCS)).cast("long")
     per = counts.select(F.col("source").alias("of"), ranges.alias("ranges"))
@@ -145,17 +204,19 @@ def mix(
     numbered = numbered.join(sizes, same).select("row", "source", (F.col("inside") + F.col("before")).alias("number"))
     numbered = numbered.withColumn("block", F.expr(f"number div {int(block_docs)}"))
 
-    shares = plan.select(F.col("source").alias("of"), "share", F.col("p").alias("period")).distinct()
+    live = weighted.filter("w > 0")
+    shares = live.crossJoin(live.agg(F.sum("w").alias("period"))).select(
+        F.col("source").alias("of"), F.col("w").alias("share"), "period"
+    )
     shared = numbered.join(F.broadcast(shares), numbered["source"].eqNullSafe(shares["of"]), "left").drop("of")
-    shared = shared.withColumn("k", F.expr("block % share"))
-    times = plan.select(F.col("source").alias("of"), F.col("k").alias("nth"), F.col("slot").alias("at"))
-    met = shared["source"].eqNullSafe(times["of"]) & (shared["k"] == times["nth"])
-    return shared.join(F.broadcast(times), met, "left").select(
+    times = small(plan.select(F.col("source").alias("of"), F.col("k").alias("nth"), "slot"))
+    met = shared["source"].eqNullSafe(times["of"]) & (shared["block"] == times["nth"])
+    return shared.join(times, met, "left").select(
         "row",
         "source",
         "number",
         "block",
-        F.expr("(block div share) * period + at").alias("slot"),
+        "slot",
         F.expr(f"number % {int(block_docs)}").alias("place"),
         "share",
         "period",
