@@ -51,11 +51,21 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's result is written and read again by the next."""
+    """The last stage's rows with ``slot`` and ``place`` of each document in the mix; each stage's
+    result is written and read again by the next.
+
+    Ordered by (slot, place) the rows are the mixed stream. The files of a written table are read
+    in no certain order, so the mix is kept as these two numbers, which go through the encoding
+    with the id, and not as the order of its rows.
+    """
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    for name, stage in STAGES[:-2]:
         docs = materialize(stage(spark, docs, sf_dir), "corpus-" + name.split()[0].lower())
-    return STAGES[-1][1](spark, docs, sf_dir)
+    mixed = materialize(pfair_mix.mix(docs, columns=["doc_id", "text"]), "corpus-mixing")
+    placed = mixed.select(F.struct("row.doc_id", "slot", "place").alias("doc_id"), "row.text")
+    coded = STAGES[-1][1](spark, placed, sf_dir)
+    rest = [F.col(f"`{c}`") for c in coded.columns if c != "doc_id"]
+    return coded.select("doc_id.doc_id", "doc_id.slot", "doc_id.place", *rest)
 
 
 #: Boosted trees, edit joins and merges of pieces are not expressible in SQL.

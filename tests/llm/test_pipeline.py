@@ -40,6 +40,20 @@ def docs_schema(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").schema
 
 
+def test_the_order_of_the_mix_is_in_the_result(spark, tmp_path, monkeypatch):
+    """Also when the mix is many files, some ids are missing or repeated, and sources differ in size."""
+    rows = [(None if i % 50 == 0 else i // 2, f"text {i} " * (1 + i % 30), "en", "abbccc"[i % 6], i) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(7, "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    as_it_is = ("as it is", lambda spark, docs, sf_dir: docs.repartition(6, "n_chars"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [as_it_is, *corpus_pipeline.STAGES[-2:]])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    c = codec(model_path())
+    want = pfair_mix.mix(docs).orderBy("slot", "place").select("row.doc_id", "row.text", "slot", "place").collect()
+    placed = sorted(got, key=lambda r: (r.slot, r.place))
+    assert [(r.doc_id, r.slot, r.place, list(r.ids)) for r in placed] == [(r.doc_id, r.slot, r.place, c.encode(r.text)) for r in want]
+
+
 def test_odd_rows_through_all_stages(odd, empty, clash, spark, tmp_path):
     labels = spark.createDataFrame([(i, 1) for i in range(9)] + [(None, 0)], "doc_id long, quality int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
