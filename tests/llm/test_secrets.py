@@ -1,6 +1,8 @@
 import hashlib
 import itertools
+import random
 import re
+import string
 
 import pytest
 
@@ -56,6 +58,33 @@ def test_hard_values_are_added_and_easy_ones_are_not():
     assert found('password="kJ8d9sLmQ2xZ"') == []  # a base span already
 
 
+def guessed(text):
+    return [text[s:e] for s, k, e, _ in spans(text, COST) if k == 3]
+
+
+@pytest.mark.parametrize("value", ["aZ3$k(9Lm!qW2#x", "correct horse battery staple", "kJ8 d9<L>mQ,2x;", 'q7\\"Rv)2mT,x', "wT5'kQ9)zB"])
+def test_quoted_values_are_whole(value):
+    assert guessed(f'password: "{value}" or "other"') == [value]
+    assert guessed(f'password: "{value}\nnext line" ok') != [value]
+
+
+def test_single_quotes_escapes_and_apostrophes():
+    assert guessed("pwd = 'aZ3$k(9Lm!qW2#x', pwd = 'b'") == ["aZ3$k(9Lm!qW2#x"]
+    assert guessed("auth: \"Bearer aZ3$k(9Lm!qW2#x\"") == ["aZ3$k(9Lm!qW2#x"]
+    assert guessed("password: 'tis what you don't know") == []
+    for easy in ("enter your password", "the password is secret", "changeme 2021", "Insert token here"):
+        assert guessed(f'password: "{easy}"') == []
+
+
+def test_short_random_values_are_found():
+    assert guessed("pwd: xK9#mQ2p ok") == ["xK9#mQ2p"] and guessed("pwd: g7Rt2Lq9Z ok") == ["g7Rt2Lq9Z"]
+    rng = random.Random(5)
+    signs = string.ascii_letters + string.digits + "#$%&*+-_^~"
+    for n in (8, 9, 10):
+        values = ["aB3#" + "".join(rng.choices(signs, k=n - 4)) + "x" for _ in range(200)]
+        assert sum(guessed(f"pwd: {v} ok") == [v] for v in values) >= 190
+
+
 def brute_cost(value):
     """The least cost over all ways to cut a value."""
     ends = COST.parts(value)

@@ -20,17 +20,25 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a shorter run holds no longer one, so this drops only failing ones
-#: Where a credential is likely: a name for one, a sign of assignment, and a value without blanks.
+#: Where a credential is likely: a name for one, a sign of assignment, and a value: all up to the
+#: closing quote on the same line, or without blanks.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code|wort)?|pwd|secret|token|api[_-]?key|access[_-]?key|"""
     r"""private[_-]?key|client[_-]?key|credentials?|contrase(?:ñ|n)a|mot[_ ]de[_ ]passe|login|auth)"""
-    r"""["'\])]{0,2}\s*(?:=>|:=|==?|:)\s*["'(]?(?:(?:basic|bearer)\x20)?([^\s"'<>,;()]+)""",
+    r"""["'\])]{0,2}\s*(?:=>|:=|==?|:)\s*(?:"""
+    r""""(?:(?:basic|bearer)\x20)?((?:\\.|[^"\\\r\n])+)"(?!\w)|"""
+    r"""'(?:(?:basic|bearer)\x20)?((?:\\.|[^'\\\r\n])+)'(?!\w)|"""
+    r"""["'(]?(?:(?:basic|bearer)\x20)?([^\s"'<>,;()]+))""",
     re.IGNORECASE,
 )
 #: Values shorter than this are no credentials.
 MIN_VALUE = 6
-#: A value is a secret if the cheapest way to guess it takes this many guesses, as a power of ten.
-MIN_LOG10_GUESSES = 14.0
+#: Words of a phrase are guessed among that many, as a power of ten, if they are not fixed ones.
+LOG10_VOCABULARY = 4.0
+PHRASE_WORD = re.compile(r"(?<![^\W_])[^\W\d_]{2,}(?![^\W_])")
+#: A value is a secret if the cheapest way to guess it takes this many guesses, as a power of ten:
+#: set from planted random values of 8 characters against names and calls in clean program text.
+MIN_LOG10_GUESSES = 13.0
 
 # Words that guessers try first, the most frequent first.
 WORDS = (
@@ -74,6 +82,19 @@ def _per_char(c: str, both_cases: bool) -> float:
     return math.log10(33)
 
 
+def _alphabet(value: str) -> float:
+    """The characters one has to try at each place of a value, as a power of ten: those of all
+    kinds that occur in it."""
+    kinds = (
+        (10, any(c.isdigit() for c in value)),
+        (26, any(c.isascii() and c.islower() for c in value)),
+        (26, any(c.isascii() and c.isupper() for c in value)),
+        (100, any(c.isalpha() and not c.isascii() for c in value)),
+        (33, any(not c.isalnum() for c in value)),
+    )
+    return math.log10(max(2, sum(n for n, there in kinds if there)))
+
+
 class GuessCost:
     """The least number of guesses for a value, as a power of ten.
 
@@ -130,16 +151,27 @@ class GuessCost:
             i = max(j - 1, i + 1)
         return ends
 
-    def log10(self, value: str, repeats: bool = True) -> float:
+    def whole(self, value: str) -> float:
+        """As ``log10``, where brute force has to try the alphabet of the whole value at each of
+        its places, and words between blanks are also guessed from a vocabulary."""
+        return self.log10(value, per_char=_alphabet(value))
+
+    def log10(self, value: str, repeats: bool = True, per_char: float | None = None) -> float:
         n = len(value)
         ends = self.parts(value)
+        if per_char is not None and " " in value:
+            for m in PHRASE_WORD.finditer(value):
+                ends[m.end()].append((m.start(), LOG10_VOCABULARY + (not m.group().islower()) * math.log10(2)))
+            for i, c in enumerate(value):
+                if c == " ":
+                    ends[i + 1].append((i, 0.0))
         if repeats:
             for i, j, unit in _repeats(value):
-                ends[j].append((i, self.log10(unit, repeats=False) + math.log10((j - i) // len(unit))))
+                ends[j].append((i, self.log10(unit, False, per_char) + math.log10((j - i) // len(unit))))
         best = [0.0] * (n + 1)
         both = value.lower() != value != value.upper()
         for j in range(1, n + 1):
-            cost = best[j - 1] + _per_char(value[j - 1], both)
+            cost = best[j - 1] + (_per_char(value[j - 1], both) if per_char is None else per_char)
             for i, g in ends[j]:
                 cost = min(cost, best[i] + g + math.log10(2))
             best[j] = cost
@@ -177,11 +209,12 @@ def spans(text: str, cost: GuessCost, threshold: float = MIN_LOG10_GUESSES) -> l
     if ":" in text or "=" in text:
         base = list(found)
         for m in CONTEXT.finditer(text):
-            i = m.start(1)
-            j = i + len(m.group(1).rstrip(".!?"))
+            i, j = m.span(m.lastindex)
+            if m.lastindex == 3:  # not quoted
+                j = i + len(m.group(3).rstrip(".!?"))
             if j - i < MIN_VALUE or any(s <= i and j <= e for s, _, e, _ in base):
                 continue
-            if (g := cost.log10(text[i:j])) >= threshold:
+            if (g := cost.whole(text[i:j])) >= threshold:
                 found.append((i, 3, j, g))
     return sorted(found, key=lambda s: s[:3])
 
@@ -197,7 +230,8 @@ def find_secrets(
     log10_guesses) by start, then kind as in ``KINDS``.
 
     Kinds assign, access and hex follow fixed patterns. Kind guess is the value of a credential
-    context, outside all of these, that takes ``10 ** min_log10_guesses`` guesses or more.
+    context, not inside one of these, that takes ``10 ** min_log10_guesses`` guesses or more; a
+    quoted value goes up to its closing quote on the same line, else to the first blank or sign.
     Null and empty texts have no spans; every row stands alone, so repeated rows and null ids are
     kept; an empty table gives no rows. Other columns are not read.
     """
