@@ -99,6 +99,18 @@ def test_near_copies_in_blocks_of_bounded_size(spark, monkeypatch):
         assert (r.dropped, r.class_ids, r.text) == want[docs[r.doc_id]]
 
 
+def test_equal_short_lines_go_if_asked_for(spark):
+    long = "a line of a text that is long enough"
+    docs = [
+        (1, f"All rights reserved.\n\n- x\n{long}"),
+        (2, f" All rights reserved. \nAll rights reserved!\n\n- x\n{long[:-1]}"),
+        (3, "- x\n- y\nAll rights reserved."),
+    ]
+    found = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), equal_chars=1)
+    got = {r.doc_id: (r.dropped, r.text) for r in found.select("row.doc_id", "dropped", "text").collect()}
+    assert got == {1: ([], docs[0][1]), 2: ([0, 3, 4], "All rights reserved!\n"), 3: ([0, 2], "- y")}
+
+
 def test_odd_rows(odd, empty, clash):
     want = plain([(r.doc_id, r.text) for r in odd.collect()])
     got = dedup_lines(odd)

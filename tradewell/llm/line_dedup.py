@@ -147,6 +147,7 @@ def line_classes(
     text_col: str = "text",
     max_edits: int = MAX_EDITS,
     min_chars: int = MIN_CHARS,
+    equal_chars: int | None = None,
 ) -> DataFrame:
     """(id, tag, at, class_id, class_at): for each line that goes, its place and the place of the
     line that stays instead.
@@ -156,18 +157,22 @@ def line_classes(
     line stays: that of the least id, then the least line number. ``tag`` tells rows of one id
     apart. A null id comes last, as the greatest long.
 
+    Edits are looked for between lines of ``min_chars`` characters or more. Equal lines are of one
+    class from ``equal_chars`` on (``min_chars`` if not given; 1: all lines that are not blank).
+
     The place of a class's first line is a grouped minimum, so a line that a third of the rows
     hold is one value from the first task on. Only segments held by two different lines lead to
     comparisons; those come in blocks of bounded size. A third step reads the texts of just the
     lines that are compared.
     """
     rows = _keys(docs, id_col, text_col)
-    lines = _lines(rows, min_chars)
+    lines = _lines(rows, min_chars if equal_chars is None else max(1, min(min_chars, equal_chars)))
     places = materialize(lines.drop("line"), "lines-places")
     first = places.groupBy("h1", "h2").agg(F.min(_place()).alias("place"))
     first = materialize(first, "lines-first")
 
-    keyed = _keyed(lines.select("line", "h1", "h2"), max_edits)
+    longer = lines.filter(F.char_length("line") >= min_chars)
+    keyed = _keyed(longer.select("line", "h1", "h2"), max_edits)
     shared = keyed.groupBy("key").agg(
         F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")
     )
@@ -175,7 +180,7 @@ def line_classes(
     members = keyed.join(small(shared), "key").groupBy("key", "h1", "h2").agg(F.max("own").alias("own"))
     members = materialize(members, "lines-members")
     wanted = materialize(members.select("h1", "h2").distinct(), "lines-wanted")
-    texts = lines.select("line", "h1", "h2").join(small(wanted), ["h1", "h2"])
+    texts = longer.select("line", "h1", "h2").join(small(wanted), ["h1", "h2"])
     texts = texts.groupBy("h1", "h2").agg(F.min("line").alias("line"))
     texts = materialize(texts.join(first, ["h1", "h2"]), "lines-texts")
 
@@ -213,17 +218,19 @@ def dedup_lines(
     text_col: str = "text",
     max_edits: int = MAX_EDITS,
     min_chars: int = MIN_CHARS,
+    equal_chars: int | None = None,
 ) -> DataFrame:
     """One row for each document: ``row``, all its columns; ``text``, without the lines that go;
     ``n_lines``; ``dropped``, the numbers of the lines that go (from 0); ``class_ids``, the ids of
     the documents that hold the lines that stay instead.
 
-    See ``line_classes`` for what goes. Lines of fewer than ``min_chars`` characters stay. A text
-    of which no line stays is empty, a null text empty with one line. Rows of one id and text
-    share their lines, so all of them keep the same ones. Line numbers must be below 10 ** 10,
+    See ``line_classes`` for what goes. Lines of fewer than ``min_chars`` characters stay,
+    unless ``equal_chars`` is less: then all but the first of equal ones go. A text of which no
+    line stays is empty, a null text empty with one line. Rows of one id and text share their
+    lines, so all of them keep the same ones. Line numbers must be below 10 ** 10,
     ids longs (null: last) that are not negative. An empty table gives no rows.
     """
-    gone = line_classes(docs, id_col, text_col, max_edits, min_chars).distinct()
+    gone = line_classes(docs, id_col, text_col, max_edits, min_chars, equal_chars).distinct()
     gone = gone.groupBy("id", "tag").agg(
         F.collect_list("at").alias("dropped"), F.array_sort(F.collect_set("class_id")).alias("class_ids")
     )
