@@ -6,7 +6,19 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewell.llm import ann_tree, chat_hmm, line_dedup, pfair_mix, piece_codec, quality_gbdt, quality_rules, secrets, simhash, url_graph
+from tradewell.llm import (
+    ann_tree,
+    chat_hmm,
+    line_dedup,
+    pfair_mix,
+    piece_codec,
+    quality_gbdt,
+    quality_rules,
+    secrets,
+    simhash,
+    toxicity,
+    url_graph,
+)
 from tradewell.llm.common import table
 
 
@@ -81,6 +93,11 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "source", "number", "block", "slot", "place")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of compression distance between toxic and ordinary text."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -92,6 +109,7 @@ QUERIES = {
     "op8_chat_hmm": op8_chat_hmm,
     "op9_url_graph": op9_url_graph,
     "op10_pfair_mix": op10_pfair_mix,
+    "op12_toxicity": op12_toxicity,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
