@@ -11,6 +11,7 @@ from tradewell.llm import (
     chat_hmm,
     line_dedup,
     pfair_mix,
+    phrases,
     piece_codec,
     quality_gbdt,
     quality_rules,
@@ -93,6 +94,11 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "source", "number", "block", "slot", "place")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrases of each language whose words come together most."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of compression distance between toxic and ordinary text."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -109,6 +115,7 @@ QUERIES = {
     "op8_chat_hmm": op8_chat_hmm,
     "op9_url_graph": op9_url_graph,
     "op10_pfair_mix": op10_pfair_mix,
+    "op11_phrases": op11_phrases,
     "op12_toxicity": op12_toxicity,
     "pipeline": corpus_pipeline.run,
 }
@@ -116,6 +123,7 @@ SQL: dict[str, str] = {
     "op6_quality_rules": quality_rules.SQL,
     "op9_url_graph": url_graph.SQL,
     "op10_pfair_mix": pfair_mix.SQL,
+    "op11_phrases": phrases.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
