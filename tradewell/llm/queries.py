@@ -10,6 +10,7 @@ from tradewell.llm import (
     ann_tree,
     chat_hmm,
     line_dedup,
+    pair_maxscore,
     pfair_mix,
     phrases,
     piece_codec,
@@ -104,6 +105,11 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that score highest for each benchmark item."""
+    return pair_maxscore.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -117,6 +123,7 @@ QUERIES = {
     "op10_pfair_mix": op10_pfair_mix,
     "op11_phrases": op11_phrases,
     "op12_toxicity": op12_toxicity,
+    "op13_pair_maxscore": op13_pair_maxscore,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
@@ -124,6 +131,7 @@ SQL: dict[str, str] = {
     "op9_url_graph": url_graph.SQL,
     "op10_pfair_mix": pfair_mix.SQL,
     "op11_phrases": phrases.SQL,
+    "op13_pair_maxscore": pair_maxscore.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
