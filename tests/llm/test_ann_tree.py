@@ -105,13 +105,19 @@ def test_tree_order_is_by_distance():
     tree = grow(x, float(np.sqrt((x * x).sum(1)).max()))
     leaf = tree.assign(x)
     assert sorted(set(leaf)) == list(range(tree.leaves))
-    assert sorted(tree.visits(x[0])) == list(range(tree.leaves))
-    turn = [list(tree.visits(q)).index(a) for q, a in zip(x[:100], leaf, strict=False)]
+    assert sorted(tree.visits(tree.far(x[:1])[0])) == list(range(tree.leaves))
+    turn = [list(tree.visits(far)).index(a) for far, a in zip(tree.far(x[:100]), leaf, strict=False)]
     assert np.mean(turn) < tree.leaves / 3
     assert grow(np.ones((200, 3)), math.sqrt(3)).leaves >= 1
 
 
 @pytest.mark.parametrize("k", [1, 3, 50])
 def test_best_breaks_ties_by_id(k):
-    score, ids = np.array([1.0, 2.0, 2.0, 2.0, 0.0]), np.array([5, 9, 3, 7, 1])
-    assert ids[ann_tree.best(score, ids, k)].tolist() == [3, 7, 9, 5, 1][:k]
+    queries, ids = np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([5, 9, 3, 7, 1])
+    vectors = np.array([[1.0, 4.0], [2.0, 4.0], [2.0, 4.0], [2.0, 4.0], [0.0, 4.0]])
+    row, at, score = ann_tree.best(queries @ vectors.T, queries, vectors, ids, k)
+    assert ids[at[row == 0]].tolist() == [3, 7, 9, 5, 1][:k] and ids[at[row == 1]].tolist() == [1, 3, 5, 7, 9][:k]
+    assert score[row == 0].tolist() == [2.0, 2.0, 2.0, 1.0, 0.0][:k]
+    near = np.where(np.arange(5) == 2, -np.inf, queries @ vectors.T)
+    row, at, _ = ann_tree.best(near, queries, vectors, ids, k)
+    assert ids[at[row == 0]].tolist() == [7, 9, 5, 1][:k]

@@ -20,8 +20,10 @@ from tradewell.sources.io import materialize
 MAX_FIT, MAX_CALIBRATE = 32_768, 256
 BRANCHES, LEAF_FIT, ROUNDS = 8, 64, 8
 TARGET = 0.95
-#: Vectors and queries that meet in one task.
-SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
+#: Vectors and queries that meet in one task, queries that are routed in one, and the most tasks.
+SHARD_ROWS, QUERY_ROWS, ROUTE_ROWS, MOST_TASKS = 4_096, 4_096, 256, 20_000
+#: By how much a matrix product of unit vectors may differ from the sum in order.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -56,20 +58,23 @@ class Tree:
                 node[rows] = lo + _nearest(x[rows], self.center[lo:hi])
         return self.leaf[node]
 
-    def visits(self, query: np.ndarray) -> Iterator[int]:
+    def far(self, queries: np.ndarray) -> np.ndarray:
+        """The squared distance of each query to the centre of each node, less its own square."""
+        q = np.concatenate([queries, np.zeros((len(queries), 1))], 1)
+        return (self.center * self.center).sum(1) - 2 * (q @ self.center.T)
+
+    def visits(self, far: np.ndarray) -> Iterator[int]:
         """Leaves in the order of best-bin-first: the queue gives the node whose centre is
         nearest to the query, of all that hang on nodes opened so far."""
-        q = np.append(query, 0.0)
+        near, first, count, leaf = far.tolist(), self.first.tolist(), self.count.tolist(), self.leaf.tolist()
         queue = [(0.0, 0)]
         while queue:
             _, i = heapq.heappop(queue)
-            if not self.count[i]:
-                yield int(self.leaf[i])
+            if not count[i]:
+                yield leaf[i]
                 continue
-            lo, hi = int(self.first[i]), int(self.first[i] + self.count[i])
-            far = ((self.center[lo:hi] - q) ** 2).sum(1).tolist()
-            for k, d in zip(range(lo, hi), far, strict=True):
-                heapq.heappush(queue, (d, k))
+            for k in range(first[i], first[i] + count[i]):
+                heapq.heappush(queue, (near[k], k))
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -108,23 +113,34 @@ def grow(x: np.ndarray, longest: float, seed: int = 7) -> Tree:
     return Tree(np.stack(center), np.array(first), np.array(count), np.array(leaf), longest)
 
 
-def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products in double precision, summed in the order of the coordinates, so that equal
-    vectors have equal ones wherever they are computed."""
-    total = np.zeros((len(queries), len(vectors)))
-    for k in range(queries.shape[1]):
-        total += queries[:, k, None] * vectors[None, :, k]
+def products(queries: np.ndarray, vectors: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inner products of queries and vectors at the given places in double precision, summed in
+    the order of the coordinates, so that equal vectors have equal ones wherever computed."""
+    total = np.zeros(len(rows))
+    for q, v in zip(queries.T, vectors.T, strict=True):
+        total += q[rows] * v[at]
     return total
 
 
-def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` largest scores, ties to smaller ids."""
-    if len(score) > k:
-        least = np.partition(score, len(score) - k)[len(score) - k]
-        at = np.nonzero(score >= least)[0]
-    else:
-        at = np.arange(len(score))
-    return at[np.lexsort((ids[at], -score[at]))[:k]]
+def best(
+    near: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the ``k`` largest products of each query, ties to smaller ids.
+
+    ``near`` holds matrix products, -inf where a vector is not to be taken. They only choose what
+    may be among the best; the scores are summed in order.
+    """
+    most = np.sqrt((queries * queries).sum(1)) * np.sqrt((vectors * vectors).sum(1).max(initial=0))
+    least = np.full(len(queries), -np.inf)
+    if near.shape[1] > k:
+        least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+    least = np.nan_to_num(least - SLACK * most, nan=-np.inf, neginf=-np.inf)
+    rows, at = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+    score = products(queries, vectors, rows, at)
+    order = np.lexsort((ids[at], -score, rows))
+    rows, at, score = rows[order], at[order], score[order]
+    turn = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[turn < k], at[turn < k], score[turn < k]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -159,16 +175,13 @@ def _exact(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> Dat
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, leaf = np.asarray(batch["id"]), np.asarray(batch["leaf"])
-            score = products(queries, _matrix(batch["v"], len(own)))
-            score[ids[:, None] == own[None, :]] = -np.inf
-            for q in range(len(ids)):
-                at = best(score[q], own, k)
-                at = at[score[q][at] > -np.inf]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[q]] * len(at), pa.int64()), pa.array(own[at]), pa.array(leaf[at]), pa.array(score[q][at])],
-                    ["query", "id", "leaf", "score"],
-                )
+            own, leaf, v = np.asarray(batch["id"]), np.asarray(batch["leaf"]), _matrix(batch["v"], batch.num_rows)
+            near = queries @ v.T
+            near[ids[:, None] == own[None, :]] = -np.inf
+            q, at, score = best(near, queries, v, own, k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[q]), pa.array(own[at]), pa.array(leaf[at]), pa.array(score)], ["query", "id", "leaf", "score"]
+            )
 
     found = rows.select("id", "v", "leaf").mapInArrow(each, "query long, id long, leaf int, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
@@ -181,8 +194,8 @@ def calibrate(tree: Tree, truth: pd.DataFrame, ids: np.ndarray, queries: np.ndar
         return 1
     needed = []
     leaves = truth.groupby("query")["leaf"].agg(list).to_dict()
-    for i, q in zip(ids.tolist(), queries, strict=True):
-        turn = {leaf: n + 1 for n, leaf in enumerate(tree.visits(q))}
+    for i, far in zip(ids.tolist(), tree.far(queries), strict=True):
+        turn = {leaf: n + 1 for n, leaf in enumerate(tree.visits(far))}
         needed += [turn[leaf] for leaf in leaves.get(i, [])]
     return int(np.quantile(needed, target, method="higher"))
 
@@ -225,7 +238,8 @@ def nearest(
     placed = materialize(rows.mapInArrow(put, "id long, v array<double>, leaf int"), "ann-placed")
     asked = placed.filter(queries).groupBy("id").agg(F.min("v").alias("v"))
     asked = materialize(asked, "ann-queries")
-    ids, some = _chosen(asked, asked.count(), MAX_CALIBRATE)
+    many = asked.count()
+    ids, some = _chosen(asked, many, MAX_CALIBRATE)
     truth = _exact(placed, ids, some, k).toPandas() if len(ids) else pd.DataFrame()
     wide = calibrate(tree, truth, ids, some, target)
     held = np.zeros(tree.leaves, np.int64)  # as many numbers as leaves, bounded by the sample
@@ -236,10 +250,11 @@ def nearest(
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, q in zip(batch["id"].to_pylist(), _matrix(batch["v"], batch.num_rows), strict=True):
+            vectors = _matrix(batch["v"], batch.num_rows)
+            for i, q, far in zip(batch["id"].to_pylist(), vectors, tree.far(vectors), strict=True):
                 to: dict[int, list[int]] = {}
                 seen = 0
-                for turn, leaf in enumerate(tree.visits(q)):
+                for turn, leaf in enumerate(tree.visits(far)):
                     if turn >= wide and seen >= 4 * k:
                         break
                     seen += held[leaf]
@@ -253,10 +268,13 @@ def nearest(
     routed = pa.schema(
         [("query", pa.int64()), ("v", pa.list_(pa.float64())), ("shard", pa.int32()), ("part", pa.int32()), ("leaves", pa.list_(pa.int32()))]
     )
-    sent = asked.mapInArrow(route, "query long, v array<double>, shard int, part int, leaves array<int>")
+    spread = asked.repartition(min(MOST_TASKS, -(-many // ROUTE_ROWS)) or 1, "id")
+    sent = spread.mapInArrow(route, "query long, v array<double>, shard int, part int, leaves array<int>")
     sent = materialize(sent, "ann-visits")
     blocks = sent.groupBy("shard", "part").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
-    blocks = F.broadcast(materialize(blocks, "ann-blocks"))  # a row for each shard at most
+    blocks = materialize(blocks, "ann-blocks")
+    tasks = min(MOST_TASKS, blocks.agg(F.sum("blocks")).first()[0] or 1)
+    blocks = F.broadcast(blocks)  # a row for each part of a shard at most
 
     packing = pd.DataFrame({"leaf": range(len(shard)), "shard": shard, "parts": [parts.get(int(x), 1) for x in shard]})
     packing = spark.createDataFrame(packing, "leaf int, shard int, parts int")
@@ -269,9 +287,9 @@ def nearest(
     def meet(there: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
         return _search(there, here, k)
 
-    found = there.select(*keys, "id", "v", "leaf").groupBy(*keys).cogroup(
-        here.select(*keys, "query", "v", "leaves").groupBy(*keys)
-    ).applyInPandas(meet, "query_id long, vec_id long, score double")
+    there = there.select(*keys, "id", "v", "leaf").repartition(tasks, *keys)
+    here = here.select(*keys, "query", "v", "leaves").repartition(tasks, *keys)
+    found = there.groupBy(*keys).cogroup(here.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -292,8 +310,9 @@ def _shards(held: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
 
 
 def _search(there: pd.DataFrame, here: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` best rows of a shard for each query, among the leaves that the query visits."""
-    out: list[tuple] = []
+    """The ``k`` best rows of a shard for each query, among the leaves that the query visits: one
+    matrix product for each leaf and the queries that visit it."""
+    out: list[pd.DataFrame] = []
     if len(there) and len(here):
         there = there.sort_values("leaf", kind="stable")
         ids, leaf = there["id"].to_numpy(), there["leaf"].to_numpy()
@@ -301,22 +320,15 @@ def _search(there: pd.DataFrame, here: pd.DataFrame, k: int) -> pd.DataFrame:
         for lo in range(0, len(here), 256):
             some = here.iloc[lo : lo + 256]
             names, q = some["query"].to_numpy(), np.stack(some["v"].to_numpy())
-            near: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in names]
-            visitors: dict[int, list[int]] = {}
-            for row, leaves in enumerate(some["leaves"]):
-                for x in leaves:
-                    visitors.setdefault(int(x), []).append(row)
-            for x, asking in visitors.items():
-                a, b = np.searchsorted(leaf, [x, x + 1])
-                if a < b:
-                    score = products(q[asking], v[a:b])
-                    for row, s in zip(asking, score, strict=True):
-                        near[row].append((s, ids[a:b]))
-            for row, lists in enumerate(near):
-                if lists:
-                    score, own = np.concatenate([s for s, _ in lists]), np.concatenate([i for _, i in lists])
-                    other = own != names[row]
-                    score, own = score[other], own[other]
-                    at = best(score, own, k)
-                    out += zip([names[row]] * len(at), own[at], score[at], strict=True)
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            near = np.full((len(some), len(ids)), -np.inf)
+            asking = np.repeat(np.arange(len(some)), some["leaves"].map(len))
+            visited = np.concatenate(some["leaves"].to_numpy())
+            order = np.argsort(visited, kind="stable")
+            asking, visited = asking[order], visited[order]
+            for x in np.unique(visited):
+                (a, b), (c, d) = np.searchsorted(leaf, [x, x + 1]), np.searchsorted(visited, [x, x + 1])
+                near[asking[c:d], a:b] = q[asking[c:d]] @ v[a:b].T
+            near[names[:, None] == ids[None, :]] = -np.inf
+            row, at, score = best(near, q, v, ids, k)
+            out.append(pd.DataFrame({"query_id": names[row], "vec_id": ids[at], "score": score}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
