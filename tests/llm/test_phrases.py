@@ -98,11 +98,17 @@ def test_index_counts_and_intervals():
 def test_filter_knows_all_that_it_was_given(spark):
     rows = [("en", f"word{i} ü") for i in range(3000)] + [("", "x"), ("日", "a b c")]
     known = filter_of(spark.createDataFrame(rows, "lang string, phrase string"), len(rows))
-    assert all(known.has(lang.encode() + b"\xff" + p.encode()) for lang, p in rows)
-    other = [known.has(b"en\xff" + f"other{i}".encode()) for i in range(3000)]
-    assert np.mean(other) < 0.1
-    none = filter_of(spark.createDataFrame([], "lang string, phrase string"), 0)
-    assert not none.has(b"en\xffword1")
+    hashes = lambda lang, p: phrases.word_hashes([(lang, w.encode()) for w in p.split(" ")])
+    has = lambda known, lang, p: known.has(hashes(lang, p)[:, None])[0]
+    assert all(has(known, lang, p) for lang, p in rows)
+    assert np.mean([has(known, "en", f"other{i} ü") for i in range(3000)]) < 0.1
+    assert not has(filter_of(spark.createDataFrame([], "lang string, phrase string"), 0), "en", "word1")
+
+
+def test_stable_order():
+    rng = np.random.default_rng(1)
+    for keys in (rng.integers(0, 9, 1000), rng.integers(0, 1 << 60, 1000) // (1 << 58) * (1 << 58), np.zeros(0, np.int64), np.zeros(1, int)):
+        assert phrases._order(keys).tolist() == np.argsort(keys, kind="stable").tolist()
 
 
 def test_long_texts_in_cuts_and_shards(spark, monkeypatch):
@@ -124,7 +130,7 @@ def test_many_shards_sum_up(spark):
     total, before = Counter(), phrases.SHARD_WORDS
     phrases.SHARD_WORDS = 4
     try:
-        shards = list(phrases._shards(iter([batch]), None))
+        shards = list(phrases._shards(iter([batch])))
     finally:
         phrases.SHARD_WORDS = before
     for ids, names in shards:

@@ -3,8 +3,9 @@ summed over the shards, and scored by how often their parts come together."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,45 +50,83 @@ def words_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 class Ids(dict):
-    """Numbers of words from 1; words that the filter does not know get 0, as ends of pieces do."""
+    """Numbers of words from 1, made as they come; 0 is the end of a piece."""
 
-    def __init__(self, lang: str, names: list[tuple[str, bytes]], frequent: Filter | None):
+    def __init__(self, lang: str, names: list[tuple[str, bytes]]):
         super().__init__({b"\xff": 0})
-        self.lang, self.names, self.frequent = lang, names, frequent
+        self.lang, self.names = lang, names
 
     def __missing__(self, word: bytes) -> int:
-        if self.frequent is not None and not self.frequent.has(self.lang.encode() + b"\xff" + word):
-            number = 0
-        else:
-            self.names.append((self.lang, word))
-            number = len(self.names)
-        self[word] = number
+        self.names.append((self.lang, word))
+        number = self[word] = len(self.names)
         return number
 
 
+def word_hashes(names: Sequence[tuple[str, bytes]]) -> np.ndarray:
+    """Spark's ``xxhash64(lang, word)`` of each word."""
+    seeds = {lang: xxhash.xxh64_intdigest(lang.encode(), 42) for lang in {x for x, _ in names}}
+    return np.array([xxhash.xxh64_intdigest(word, seeds[lang]) for lang, word in names], np.uint64)
+
+
+# The five primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (
+    np.uint64(p)
+    for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+)
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def fold_hashes(columns: Sequence[np.ndarray]) -> np.ndarray:
+    """Spark's ``xxhash64`` of an array of numbers, for many arrays: column i holds their i-th."""
+    h = np.full(len(columns[0]), 42, np.uint64)
+    for x in columns:
+        h = (h + _P5 + np.uint64(8)) ^ (_turned(x * _P2, 31) * _P1)
+        h = _turned(h, 27) * _P1 + _P4
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h ^= h >> np.uint64(32)
+    return h
+
+
 @dataclass(frozen=True)
 class Filter:
-    """Bits set at the hashes of (lang, phrase); a phrase whose bit is not set is not frequent."""
+    """Bits set at the hashes of phrases; a phrase whose bit is not set is not frequent."""
 
-    bits: bytes
+    bits: np.ndarray
     power: int
 
-    def has(self, key: bytes) -> bool:
-        at = xxhash.xxh64_intdigest(key, 42) & ((1 << self.power) - 1)
-        return bool(self.bits[at >> 3] >> (at & 7) & 1)
+    def has(self, words: Sequence[np.ndarray]) -> np.ndarray:
+        """For phrases whose i-th words have the hashes of column i."""
+        at = fold_hashes(words) & np.uint64((1 << self.power) - 1)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def filter_of(phrases: DataFrame, spark_rows: int) -> Filter:
-    """The filter of the rows (lang, phrase). What is collected are its bits, bounded in number."""
-    power = min(MOST_BITS, max(LEAST_BITS, int(16 * spark_rows).bit_length()))
-    key = F.concat(F.encode("lang", "UTF-8"), F.unhex(F.lit("FF")), F.encode("phrase", "UTF-8"))
-    at = F.xxhash64(key).bitwiseAND(F.lit((1 << power) - 1)) + 1  # buckets count from 1
+def filter_of(phrases: DataFrame, rows: int) -> Filter:
+    """The filter of the ``rows`` rows (lang, phrase). What is collected are its bits, at most
+    two to the power of ``MOST_BITS``."""
+    power = min(MOST_BITS, max(LEAST_BITS, int(16 * rows).bit_length()))
+    words = F.transform(F.split("phrase", " "), lambda w: F.xxhash64("lang", w))
+    at = F.xxhash64(words).bitwiseAND(F.lit((1 << power) - 1)) + 1  # buckets count from 1
     bits = phrases.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket"))
     bits = bits.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits"))
     held = bytearray((1 << power) // 8)
     for bucket, part in bits.collect():
         held[(bucket - 1) * len(part) : bucket * len(part)] = part
-    return Filter(bytes(held), power)
+    return Filter(np.frombuffer(bytes(held), np.uint8), power)
+
+
+def _order(keys: np.ndarray) -> np.ndarray:
+    """A stable argsort of whole numbers from 0: where key and place fit into one number, that is
+    sorted, which is many times faster."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if int(keys.max(initial=0)).bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    both = keys.astype(np.int64) << bits | np.arange(len(keys))
+    both.sort()
+    return both & ((1 << bits) - 1)
 
 
 class Half:
@@ -97,14 +136,14 @@ class Half:
     def __init__(self, ids: np.ndarray, depth: int):
         n = len(ids)
         # The order by d + 1 symbols is that by d, one position earlier, sorted stably by symbol.
-        order = np.arange(n, dtype=np.int32)
+        order = np.arange(n)
         for _ in range(depth):
-            order = (order - 1) % n
-            order = order[np.argsort(ids[order], kind="stable")]
-        self.before = ids[(order - 1) % n]
-        goes = np.empty(n, np.int32)
-        goes[np.argsort(self.before, kind="stable")] = np.arange(n, dtype=np.int32)
-        self.goes = goes
+            order = order - 1
+            order[order < 0] += n
+            order = order[_order(ids[order])]
+        self.before = np.roll(ids, 1)[order]
+        self.goes = np.empty(n, np.int32)
+        self.goes[_order(self.before)] = np.arange(n, dtype=np.int32)
 
 
 @dataclass(frozen=True)
@@ -128,7 +167,15 @@ class Index:
     def __init__(self, ids: np.ndarray, depth: int):
         ids = np.concatenate([np.zeros(1, ids.dtype), ids])  # cyclic, so one end is needed
         self.ids = ids[(ids > 0) | (np.roll(ids, 1) > 0) | (np.arange(len(ids)) == 0)]
-        self.ahead, self.back = Half(self.ids, depth), Half(self.ids[::-1], depth)
+        self.depth = depth
+
+    @cached_property
+    def ahead(self) -> Half:
+        return Half(self.ids, self.depth)
+
+    @cached_property
+    def back(self) -> Half:
+        return Half(self.ids[::-1], self.depth)
 
     def single(self) -> Intervals:
         counts = np.bincount(self.ids)
@@ -158,7 +205,8 @@ def _extend(half: Half, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarra
     start = count.cumsum() - count
     rows = np.arange(len(which)) - np.repeat(start - first, count)
     symbol = half.before[rows]
-    order = np.lexsort((symbol, which))  # stable: the first row of a run is its first in the BWT
+    size = int(symbol.max(initial=0)) + 1
+    order = _order(which * size + symbol)  # stable: the first row of a run is its first in the BWT
     sym, of = symbol[order], which[order]
     new = np.ones(len(order), bool)
     new[1:] = (sym[1:] != sym[:-1]) | (of[1:] != of[:-1])
@@ -169,9 +217,7 @@ def _extend(half: Half, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarra
     return of[at], sym[at], times, half.goes[rows[order[at]]], at - start[of[at]]
 
 
-def _shards(
-    batches: Iterator[pa.RecordBatch], frequent: Filter | None
-) -> Iterator[tuple[np.ndarray, list[tuple[str, bytes]]]]:
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[tuple[str, bytes]]]]:
     """Word ids of whole pieces, about ``SHARD_WORDS`` at a time, and the names of the ids."""
     names: list[tuple[str, bytes]] = []
     ids: dict[str, Ids] = {}
@@ -183,7 +229,7 @@ def _shards(
                 continue
             of = ids.get(lang)
             if of is None:
-                of = ids[lang] = Ids(lang, names, frequent)
+                of = ids[lang] = Ids(lang, names)
             for words in words_of(text.as_py()):
                 runs.append(np.fromiter(map(of.__getitem__, words), np.int32, len(words)))
                 held += len(words)
@@ -214,7 +260,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     """(lang, phrase, f) of the words of each shard, and of all of them with a null phrase."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, names in _shards(batches, None):
+        for ids, names in _shards(batches):
             counts = np.bincount(ids, minlength=len(names) + 1)[1:]
             words = np.arange(1, len(names) + 1)[:, None]
             yield from _rows(Intervals(words, counts, counts, counts), names)
@@ -234,39 +280,26 @@ def _phrase_counts(texts: DataFrame, length: int, filters: list[Filter]) -> Data
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for ids, names in _shards(batches, known[0]):
-            index = Index(ids, length - 1)
+        for ids, names in _shards(batches):
+            hashes = np.concatenate([np.zeros(1, np.uint64), word_hashes(names)])
+            has = lambda words, of: known[of].has([hashes[w] for w in words.T])
+            frequent = has(np.arange(len(hashes))[:, None], 0)
+            frequent[0] = False
+            index = Index(np.where(frequent[ids], ids, 0), length - 1)
             found = index.single()
             for n in range(2, length + 1):
                 # To the left and to the right in turn, from phrases that are frequent themselves.
                 found = index.left(found) if n % 2 == 0 else index.right(found)
                 if n < length:
-                    found = found.only(_known(found.words, names, known[n - 1]))
+                    found = found.only(has(found.words, n - 1))
             if length > 2:  # and the part that the last step put together
                 part = found.words[:, 1:] if length % 2 else found.words[:, :-1]
-                found = found.only(_known(part, names, known[length - 2]))
+                found = found.only(has(part, length - 2))
             yield from _rows(found, names)
 
     return texts.mapInArrow(each, "lang string, phrase string, f long")
 
 
-def _known(words: np.ndarray, names: list[tuple[str, bytes]], frequent: Filter) -> np.ndarray:
-    """Which phrases the filter knows; equal ones are looked up once."""
-    if not len(words):
-        return np.zeros(0, bool)
-    order = np.lexsort(words.T)
-    new = np.ones(len(order), bool)
-    new[1:] = (words[order[1:]] != words[order[:-1]]).any(1)
-    of = np.empty(len(order), np.int64)
-    of[order] = new.cumsum() - 1
-    lang = [x.encode() + b"\xff" for x, _ in names]
-    name = [x for _, x in names]
-    flags = [
-        frequent.has(lang[row[0] - 1] + b" ".join([name[i - 1] for i in row])) for row in words[order[new]].tolist()
-    ]
-    return np.array(flags, bool)[of]
-
-
 def counts(
     docs: DataFrame,
     lang_col: str = "lang",
