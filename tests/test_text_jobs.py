@@ -55,35 +55,49 @@ def test_lexical_topk_is_exact(spark, texts, k):
     assert {(r.question_id, r.doc_id, r.score, r.rank) for r in got} == brute_lexical(*texts, k)
 
 
-def test_blocks_do_not_change_the_result(spark, texts, monkeypatch):
-    q, d = as_frames(spark, texts)
-    terms = lexical.term_counts(q, "question_id")
-    weights = lexical.document_weights(d, terms.select("term").distinct())
-    asked = lexical.question_weights(
-        terms, weights.groupBy("term").agg(F.count("w").alias("df")), F.lit(300)
-    )
-    for name, value in (("_CHUNK", 7), ("_DENSE_TERMS", 3), ("_DENSE_PAIRS", 20), ("_PAIRS_AT_ONCE", 50)):
-        monkeypatch.setattr(block_topk, name, value)
-    got = block_topk.block_topk(
-        weights, asked, block_topk.term_scorer("doc_id", "question_id"), 5,
-        n_doc_blocks=F.lit(8), n_question_blocks=F.lit(5),
-    ).collect()
+@pytest.mark.parametrize("block_terms,first_part", [(7, 1), (20, 2), (500_000, 3), (3, 10**9)])
+def test_blocks_do_not_change_the_result(spark, texts, monkeypatch, block_terms, first_part):
+    """Many blocks of questions; all documents, some and none searched first for the scores to reach."""
+    monkeypatch.setattr(lexical, "BLOCK_TERMS", block_terms)
+    monkeypatch.setattr(lexical, "FIRST_PART", first_part)
+    got = lexical.lexical_topk(*as_frames(spark, texts), k=5).collect()
     assert {(r.question_id, r.doc_id, r.score, r.rank) for r in got} == brute_lexical(*texts, 5)
 
 
-def test_terms_are_counted_in_the_row(spark):
-    rows = [(["b", "a", "b", "b", "c"],), ([],), (["z"],), (["é", "e", "é"],)]
-    df = spark.createDataFrame(rows, "w array<string>")
-    got = [[(x.term, x.n) for x in r[0]] for r in df.select(lexical.term_runs(F.col("w"))).collect()]
-    assert got == [[("a", 1), ("b", 3), ("c", 1)], [], [("z", 1)], [("e", 1), ("é", 2)]]
+def test_order_and_partitions_do_not_change_a_digit(spark, texts, monkeypatch):
+    q, d = as_frames(spark, texts)
+    want = sorted(map(str, lexical.lexical_topk(q, d).collect()))
+    monkeypatch.setattr(lexical, "PARTS", 1)
+    turned = lexical.lexical_topk(q.orderBy("text").repartition(7), d.orderBy("text").repartition(3))
+    assert sorted(map(str, turned.collect())) == want
+
 
+def test_sums_stay_where_the_documents_are(spark, texts):
+    """One exchange deals the documents out; none follows the join until the k best are taken,
+    no Python runs, and only checked blocks of questions are broadcast."""
+    plan = plan_of(lexical.lexical_topk(*as_frames(spark, texts)))
+    assert "Python" not in plan and "Arrow" not in plan and "SortMergeJoin" not in plan
+    main = plan[plan.index("HashAggregate(keys=[q#") :]
+    before_scan = main[: main.index("FileScan")]
+    assert before_scan.count("Exchange hashpartitioning(doc_id") == 1
+    assert "Exchange hashpartitioning(q" not in before_scan
 
-def test_no_token_is_shuffled_before_it_is_counted(spark):
-    docs = spark.createDataFrame([(1, "a b a")], "doc_id bigint, text string")
+
+def test_weights_are_of_the_whole_document(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "doc_id bigint, text string")
     vocabulary = spark.createDataFrame([("a",)], "term string").repartition(2)
     weights = lexical.document_weights(docs, vocabulary)
     assert [(r.doc_id, r.term, round(r.w, 6)) for r in weights.collect()] == [(1, "a", round(2 / 5**0.5, 6))]
-    assert "HashAggregate" not in plan_of(weights)
+
+
+def test_odd_texts_and_empty_tables(spark):
+    q = spark.createDataFrame([("q", "Hay"), ("n", None), ("e", "")], "question_id string, text string")
+    docs = spark.createDataFrame([(1, None), (2, "hay hay"), (3, ""), (3, "HAY stack")], "doc_id bigint, text string")
+    got = [(r.question_id, r.doc_id, r.score, r.rank) for r in lexical.lexical_topk(q, docs).orderBy("rank").collect()]
+    # Rows of one id are one document.
+    assert got == [("q", 2, 1.0, 1), ("q", 3, round(2**-0.5, 6), 2)]
+    assert lexical.lexical_topk(q.limit(0), docs).collect() == []
+    assert lexical.lexical_topk(q, docs.limit(0)).collect() == []
 
 
 def test_long_documents_count_to_the_last_word(spark):
