@@ -112,3 +112,36 @@ def test_odd_rows(odd, empty, clash):
     assert got.count() == odd.count()
     assert sorted(map(str, got.collect())) == sorted(map(str, secrets.find_secrets(clash).collect()))
     assert secrets.find_secrets(empty).collect() == []
+
+
+def test_unquoted_values_are_whole():
+    cost = secrets.GuessCost(tuple(secrets.WORDS))
+    guessed = lambda text: [text[s:e] for s, k, e, _ in secrets.spans(text, cost) if k == 3]
+    assert guessed("password = aZ3$k(9Lm!qW2#x") == ["aZ3$k(9Lm!qW2#x"]
+    assert guessed("passwd: Tr0ub4dor&3x!? and more") == ["Tr0ub4dor&3x!?"]
+    assert guessed("(password: xK9#mQ2pw)Z4vL); next") == ["xK9#mQ2pw)Z4vL"]
+    assert guessed("<td>password: xK9#mQ2pwZ4</td>") == ["xK9#mQ2pwZ4"]
+    assert guessed("password=xK9#mQ2pwZ4', then") == ["xK9#mQ2pwZ4"]
+    assert guessed("login: https://example.com/login/page") == []
+    assert guessed("login: https://me:xK9#mQ2pwZ4@example.com/page") != []
+    assert guessed("password = read_it(a, 'xK9#mQ2pwZ4')") == []
+    assert guessed("password = environ['DB_ONE_9']") == []
+    for value in ("", "a", "a)", "(a)", "a,;'", "f(x)", ")))", "[a]]"):
+        assert secrets.unquoted_end(value) <= len(value)
+
+
+def test_many_contexts_in_one_text():
+    """Work grows with the text, not with its square."""
+    import time
+
+    cost = secrets.GuessCost(tuple(secrets.WORDS))
+    text = "token = abcdefghijkl password: monkey1 " * 8000
+    started = time.process_time()
+    found = secrets.spans(text, cost)
+    assert len(found) == 8000 and {k for _, k, _, _ in found} == {0}
+    assert time.process_time() - started < 5
+
+
+def test_columns_of_the_query(spark, sf):
+    first = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert queries.op1_secret_scan(spark, sf).columns[:6] == first

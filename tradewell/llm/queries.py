@@ -31,9 +31,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
         "doc_id",
-        *[of(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        *[of(kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
         F.sha2(secrets.span_list(base), 256).alias("base_sha256"),
         secrets.span_list(F.col("spans")).alias("spans"),
+        of("guess").alias("n_guess"),
     )
 
 

@@ -21,16 +21,23 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a shorter run holds no longer one, so this drops only failing ones
 #: Where a credential is likely: a name for one, a sign of assignment, and a value: all up to the
-#: closing quote on the same line, or without blanks.
+#: closing quote on the same line, to the first blank or sign if that is missing, or without
+#: quotes to the first blank or the end of a tag.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code|wort)?|pwd|secret|token|api[_-]?key|access[_-]?key|"""
     r"""private[_-]?key|client[_-]?key|credentials?|contrase(?:ñ|n)a|mot[_ ]de[_ ]passe|login|auth)"""
     r"""["'\])]{0,2}\s*(?:=>|:=|==?|:)\s*(?:"""
     r""""(?:(?:basic|bearer)\x20)?((?:\\.|[^"\\\r\n])+)"(?!\w)|"""
     r"""'(?:(?:basic|bearer)\x20)?((?:\\.|[^'\\\r\n])+)'(?!\w)|"""
-    r"""["'(]?(?:(?:basic|bearer)\x20)?([^\s"'<>,;()]+))""",
+    r"""["'](?:(?:basic|bearer)\x20)?([^\s"'<>,;()]+)|"""
+    r"""\(?(?:(?:basic|bearer)\x20)?((?!["'])(?:(?!</)\S)+))""",
     re.IGNORECASE,
 )
+#: A call or an item of something that has a name: what stands for a value in program text.
+CALL = re.compile(r"(?:new\s+)?[A-Za-z_][\w.]*(?=[(\[])")
+#: An address without a password in it.
+ADDRESS = re.compile(r"[a-z][a-z0-9+.-]*://[^\s@]*", re.IGNORECASE)
+CLOSERS = {")": "(", "]": "[", "}": "{", ">": "<"}
 #: Values shorter than this are no credentials.
 MIN_VALUE = 6
 #: Words of a phrase are guessed among that many, as a power of ten, if they are not fixed ones.
@@ -195,6 +202,22 @@ def _repeats(value: str) -> Iterator[tuple[int, int, str]]:
                 i = max(i + 1, j - size + 1)
 
 
+def unquoted_end(value: str) -> int:
+    """Where a value that ends at a blank really ends: a call or item of a name before its
+    bracket, any other before quotes, commas, semicolons and brackets that it doesn't open. One
+    mark that ends a sentence is the sentence's; several in a row are the value's."""
+    if call := CALL.match(value):
+        return call.end()
+    end = len(value)
+    while end:
+        last = value[end - 1]
+        alone = last in CLOSERS and value.count(last, 0, end) > value.count(CLOSERS[last], 0, end)
+        if last not in "\"'`,;" and not alone:
+            break
+        end -= 1
+    return end - 1 if re.search(r"(?<![.!?])[.!?]$", value[:end]) else end
+
+
 Span = tuple[int, int, int, float | None]
 
 
@@ -207,12 +230,17 @@ def spans(text: str, cost: GuessCost, threshold: float = MIN_LOG10_GUESSES) -> l
         found += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text) if len(m.group()) >= 18]
     found += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text)]
     if ":" in text or "=" in text:
-        base = list(found)
+        base, at, reach = sorted(found, key=lambda s: s[:3]), 0, 0  # how far spans go that start at or before a place
         for m in CONTEXT.finditer(text):
             i, j = m.span(m.lastindex)
-            if m.lastindex == 3:  # not quoted
+            if m.lastindex == 3:
                 j = i + len(m.group(3).rstrip(".!?"))
-            if j - i < MIN_VALUE or any(s <= i and j <= e for s, _, e, _ in base):
+            elif m.lastindex == 4:
+                j = i + unquoted_end(m.group(4))
+            while at < len(base) and base[at][0] <= i:
+                reach = max(reach, base[at][2])
+                at += 1
+            if j - i < MIN_VALUE or j <= reach or ADDRESS.fullmatch(text, i, j):
                 continue
             if (g := cost.whole(text[i:j])) >= threshold:
                 found.append((i, 3, j, g))
@@ -231,7 +259,8 @@ def find_secrets(
 
     Kinds assign, access and hex follow fixed patterns. Kind guess is the value of a credential
     context, not inside one of these, that takes ``10 ** min_log10_guesses`` guesses or more; a
-    quoted value goes up to its closing quote on the same line, else to the first blank or sign.
+    quoted value goes up to its closing quote on the same line, any other up to the first blank
+    (see ``unquoted_end``). Addresses without a password are none.
     Null and empty texts have no spans; every row stands alone, so repeated rows and null ids are
     kept; an empty table gives no rows. Other columns are not read.
     """
