@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tradewell import fixed_values as fv
 from tradewell.config import LayerStep, scratch_root
@@ -20,7 +21,7 @@ from tradewell.functions.text import (
 )
 from tradewell.operators import gold, quality, serving, silver
 from tradewell.operators.ranking import global_rank, top_by_rank
-from tradewell.sources import io, shop
+from tradewell.sources import io, json_arrays, schemas, shop
 
 
 def _text_of_items(items: str) -> F.Column:
@@ -50,8 +51,8 @@ def bronze_customers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def bronze_orders_nested(spark: SparkSession, sf: str) -> DataFrame:
-    return shop.raw_orders(spark, sf).select(
+def _nested_rows(orders: DataFrame) -> DataFrame:
+    return orders.select(
         "order_id",
         "load_no",
         "customer_id",
@@ -65,6 +66,19 @@ def bronze_orders_nested(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def bronze_orders_nested(spark: SparkSession, sf: str) -> DataFrame:
+    return _nested_rows(shop.raw_orders(spark, sf))
+
+
+def bronze_orders_array_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested orders scanned from files that hold one JSON array each, with the declared schema."""
+    path = f"{scratch_root(spark)}/orders-arrays-{uuid.uuid4().hex}"
+    json_arrays.write_json_arrays(shop.raw_orders(spark, sf), path)
+    loads = StructType([*schemas.ORDERS.fields, StructField("load_no", IntegerType())])
+    good, _ = io.split_corrupt(json_arrays.read_json_array(spark, path, loads, keep_corrupt=True))
+    return _nested_rows(good)
+
+
 def _written(spark: SparkSession, df: DataFrame, stem: str, partition_by=()) -> DataFrame:
     name = f"{stem}_{uuid.uuid4().hex}"
     path = f"{scratch_root(spark)}/{name}"
@@ -439,6 +453,7 @@ QUERIES = {
     "gold_revenue_summary": gold_revenue_summary,
     "bronze_customers": bronze_customers,
     "bronze_orders_nested": bronze_orders_nested,
+    "bronze_orders_array_files": bronze_orders_array_files,
     "sink_roundtrip": sink_roundtrip,
     "sink_partitioned_month": sink_partitioned_month,
     "sql_adhoc": sql_adhoc,

@@ -285,6 +285,12 @@ SQL = {
         payment_method, total_amount, CAST(num_items AS INTEGER) AS num_items, items_text
         FROM raw LEFT JOIN nested ON raw.order_id = nested.order_id""",
     ),
+    "bronze_orders_array_files": with_ctes(
+        ["raw", "nested"],
+        """SELECT raw.order_id, load_no, customer_id, customer_name, order_date, status,
+        payment_method, total_amount, CAST(num_items AS INTEGER) AS num_items, items_text
+        FROM raw LEFT JOIN nested ON raw.order_id = nested.order_id""",
+    ),
     "sink_roundtrip": with_ctes(["summary"], f"SELECT {SUMMARY_COLS}, growth_pct FROM summary"),
     "sink_partitioned_month": with_ctes(
         ["ord"],
