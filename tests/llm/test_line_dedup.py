@@ -26,13 +26,16 @@ def test_band_equals_the_whole_table(a, b, limit):
     assert within_edits(a, b, limit) == (edits(a, b) <= limit)
 
 
-def plain(docs, limit=2, least=30):
-    """{(id, text)}: dropped line numbers, ids of the lines that stay, text; over all pairs."""
+def plain(docs, limit=2, least=30, equal=30):
+    """{(id, text)}: dropped line numbers, ids of the lines that stay, text; over all pairs.
+
+    Lines of ``least`` characters or more are compared by edits, those of ``equal`` or more as they are.
+    """
     rows = sorted({(2**63 - 1 if i is None else i, t or "") for i, t in docs})
     first = {}
     for i, t in rows:
         for at, x in enumerate(t.split("\n")):
-            if len(x.strip(WHITE)) >= least:
+            if len(x.strip(WHITE)) >= equal:
                 place = (i, at, t)
                 first[x.strip(WHITE)] = min(first.get(x.strip(WHITE), place), place, key=lambda p: p[:2])
     lines = list(first)
@@ -43,8 +46,9 @@ def plain(docs, limit=2, least=30):
             x = up[x]
         return x
 
-    for k, a in enumerate(lines):
-        for b in lines[:k]:
+    long = [x for x in lines if len(x) >= least]
+    for k, a in enumerate(long):
+        for b in long[:k]:
             if abs(len(a) - len(b)) <= limit and within_edits(a, b, limit):
                 lo, hi = sorted((root(a), root(b)), key=lambda x: first[x][:2])
                 up[hi] = lo
@@ -53,7 +57,7 @@ def plain(docs, limit=2, least=30):
         gone, of, stay = [], set(), []
         for at, x in enumerate(t.split("\n")):
             bare = x.strip(WHITE)
-            if len(bare) >= least and first[root(bare)] != (i, at, t):
+            if len(bare) >= equal and first[root(bare)] != (i, at, t):
                 gone.append(at)
                 of.add(first[root(bare)][0])
             else:
@@ -64,13 +68,16 @@ def plain(docs, limit=2, least=30):
 
 def test_query_equals_all_pairs(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    want = plain(docs)
+    want = plain(docs, equal=1)
     got = {r.doc_id: r for r in queries.op2_line_dedup(spark, sf).collect()}
     for i, t in docs:
         gone, of, text = want[i, t or ""]
         r = got[i]
         assert r.dropped == ",".join(map(str, gone)) and r.n_dropped == len(gone) and r.class_ids == of
         assert r.kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    left = [x.strip(WHITE) for text in {k: v[2] for k, v in want.items()}.values() for x in text.split("\n")]
+    left = [x for x in left if x]
+    assert len(left) == len(set(left))  # no line that is not blank stays twice
 
 
 def near_copies(seed, n):

@@ -22,7 +22,7 @@ def test_every_stage_against_a_plain_version(spark, sf, tmp_path):
     bad = {r.doc_id for r in quality_gbdt.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels).collect() if not r.predicted}
     assert bad and {r.doc_id for r in good[1]} == {r.doc_id for r in good[0]} - bad
 
-    want = plain_lines([(r.doc_id, r.text) for r in lines[0]])
+    want = plain_lines([(r.doc_id, r.text) for r in lines[0]], equal=1)
     text = {r.doc_id: want[r.doc_id, r.text][2] for r in lines[0]}
     assert {r.doc_id: (r.text, r.n_chars) for r in lines[1]} == {i: (t, len(t)) for i, t in text.items()}
 

@@ -39,8 +39,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that go, where their classes' first lines are, and a digest of what stays."""
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    """Lines that go, where their classes' first lines are, and a digest of what stays.
+
+    Equal lines of any length are of one class; edits are looked for from 30 characters on."""
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), equal_chars=1)
     return found.select(
         "row.doc_id",
         F.col("n_lines").cast("long").alias("n_lines"),
