@@ -16,12 +16,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, or nearly do, go from the texts; ``n_chars`` follows.
+    """Lines that repeat an earlier line go from the texts, of whatever length, and from 30 characters
+    on also lines that nearly do; ``n_chars`` follows.
 
     A document of which nothing is left stays as an empty one; the next stage, to which all empty
     documents are copies of each other, keeps one of them.
     """
-    found = line_dedup.dedup_lines(docs).select("row.*", F.col("text").alias("_left"))
+    found = line_dedup.dedup_lines(docs, equal_chars=1).select("row.*", F.col("text").alias("_left"))
     made = {"text": F.col("_left"), "n_chars": F.char_length("_left").cast("long")}
     return found.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])
 
