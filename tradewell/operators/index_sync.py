@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,13 +10,15 @@ def text_hash(text: str = "text"):
     return F.sha2(F.col(text), 256)
 
 
-def index_sync_plan(source: DataFrame, current: DataFrame) -> DataFrame:
+def index_sync_plan(source: DataFrame, current: DataFrame, wanted_hash: Column | None = None) -> DataFrame:
     """What a triggered sync does per ``doc_id``: insert, update, delete or same.
 
     ``source`` has ``(doc_id, text)``, ``current`` has ``(doc_id, text_hash)``. Only the
-    key and the hash of a text are shuffled, never the text.
+    key and the hash of a text are shuffled, never the text. ``wanted_hash`` is the hash of a
+    source row where it is stored already.
     """
-    wanted = source.select("doc_id", text_hash().alias("_new"), F.lit(True).alias("_wanted"))
+    new = text_hash() if wanted_hash is None else wanted_hash
+    wanted = source.select("doc_id", new.alias("_new"), F.lit(True).alias("_wanted"))
     held = current.select("doc_id", F.col("text_hash").alias("_old"), F.lit(True).alias("_held"))
     return wanted.join(held, "doc_id", "full_outer").select(
         "doc_id",

@@ -90,6 +90,33 @@ def write_table(
     return df.sparkSession.table(name)
 
 
+def replace_partitions(df: DataFrame, name: str, partition_by: Sequence[str]) -> None:
+    """Overwrite the partitions of a named table that ``df`` has rows of, and no other.
+
+    ``df`` must not read the table itself (see ``materialize``). The new files are put in place
+    when all are written. An insert takes the mode from the session only, so it is set there for
+    the time of the write.
+    """
+    spark = df.sparkSession
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    rows = df.hint("rebalance", *partition_by).select(*spark.table(name).columns)
+    spark.conf.set(setting, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(setting, before)
+    spark.catalog.refreshTable(name)
+
+
+def drop_partitions(spark: SparkSession, name: str, partition: str, values: Sequence[Any]) -> None:
+    """Drop partitions with their files (of a managed table); one that is not there is no error."""
+    for value in values:
+        text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        spec = "NULL" if value is None else f"'{text}'"
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({partition} = {spec})")
+
+
 def materialize(df: DataFrame, stem: str) -> DataFrame:
     """Write an intermediate result once to the shared folder and read it from there.
 
