@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tradewell.config import scratch_root
-from tradewell.operators import chat, documents, gold, retrieval, silver
+from tradewell.operators import chat, documents, gold, late_load, retrieval, silver
 from tradewell.plans.text_queries import user_questions
 from tradewell.sources import io, schemas, shop
 
@@ -59,6 +59,25 @@ def pipeline_gold_revenue(spark: SparkSession, sf: str) -> DataFrame:
     return gold.revenue_summary(silver_layer(spark, sf, "orders")["orders"])
 
 
+def gold_revenue_late_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Revenue after each load of the orders was merged into a partitioned Silver table: later
+    loads rewrite the months they touch, and only these are computed again."""
+    raw = shop.raw_order_headers(spark, sf)
+    loads = [r.load_no for r in raw.select("load_no").distinct().orderBy("load_no").collect()]
+    name = f"silver_orders_{uuid.uuid4().hex}"
+    clean = lambda load: silver.silver_orders(raw.filter(F.col("load_no") == load), ["load_no"])
+    try:
+        io.write_table(clean(loads[0]), name, partition_by=[late_load.MONTH])
+        monthly = io.materialize(gold.revenue_monthly(spark.table(name)), "gold-months")
+        for load in loads[1:]:
+            keys = raw.filter(F.col("load_no") == load)
+            months = late_load.merge_load(spark, name, clean(load), keys, "order_id", late_load.MONTH)
+            monthly = io.materialize(late_load.refresh_months(monthly, spark.table(name), months), "gold-months")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return gold.with_growth(monthly)
+
+
 def pipeline_gold_products(spark: SparkSession, sf: str) -> DataFrame:
     layer = silver_layer(spark, sf, "orders", "products")
     items = gold.flatten_items(gold.completed_only(layer["orders"]))
@@ -88,6 +107,7 @@ def pipeline_retrieval(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "pipeline_gold_revenue": pipeline_gold_revenue,
+    "gold_revenue_late_load": gold_revenue_late_load,
     "pipeline_gold_products": pipeline_gold_products,
     "pipeline_docs": pipeline_docs,
     "pipeline_retrieval": pipeline_retrieval,

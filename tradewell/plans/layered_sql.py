@@ -50,3 +50,5 @@ SQL = {
         _RETRIEVAL,
     ),
 }
+# Loads merged one after the other give what a build of all loads gives.
+SQL["gold_revenue_late_load"] = SQL["pipeline_gold_revenue"]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewell import fixed_values as fv
 from tradewell.functions.numbers import plain_number_text
 from tradewell.functions.text import score_text
-from tradewell.operators import chat, documents, gold, index_sync, retrieval, vector_cells
+from tradewell.operators import bucketed_index, chat, documents, gold, index_sync, retrieval, vector_cells
 from tradewell.plans import shop_queries as sq
 from tradewell.sources import io, shop
 
@@ -93,6 +95,23 @@ def doc_index_after_sync(spark: SparkSession, sf: str) -> DataFrame:
     return after.select("doc_id", "text_hash")
 
 
+def doc_index_sync_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """What a sync by buckets has to do. Documents and index lie in buckets with a digest each, as
+    the runs that wrote them left them; the buckets without a difference are not read."""
+    source, held = _source_and_index(spark, sf)
+    tables = [f"documents_{uuid.uuid4().hex}", f"index_{uuid.uuid4().hex}"]
+    try:
+        source_digests = bucketed_index.write_buckets(bucketed_index.with_hash(source), tables[0])
+        index_digests = bucketed_index.write_buckets(held.select("doc_id", "text_hash"), tables[1])
+        plan = bucketed_index.changed_sync_plan(
+            spark.table(tables[0]), source_digests, spark.table(tables[1]), index_digests
+        )
+        return io.materialize(plan, "index-changes")
+    finally:
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 # --- questions and documents -------------------------------------------------
 
 
@@ -310,6 +329,7 @@ QUERIES = {
     "docs_products_short": docs_products_short,
     "docs_period_short": docs_period_short,
     "doc_index_sync_plan": doc_index_sync_plan,
+    "doc_index_sync_changed": doc_index_sync_changed,
     "doc_index_after_sync": doc_index_after_sync,
     "lexical_topk": lexical_topk,
     "retrieve_for_questions": retrieve_for_questions,

@@ -305,6 +305,7 @@ SQL = {
     ),
 }
 SQL["vector_topk_cells"] = SQL["vector_topk"]
+SQL["doc_index_sync_changed"] = f"SELECT * FROM ({SQL['doc_index_sync_plan']}) WHERE action <> 'same'"
 
 SYSTEM = fv.SYSTEM_HYBRID.replace("'", "''")
 SQL["chat_requests"] = f"""WITH prompts AS ({SQL['prompt_batch_hybrid']})
