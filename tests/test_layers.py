@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import plan_of
 from tradewell.config import LayerStep
 from tradewell.operators import gold, quality, ranking, serving, silver
+from tradewell.plans import layered
 from tradewell.sources import shop
 
 
@@ -200,3 +201,11 @@ def test_chart_series_units(spark):
     rows = [(r.x_label, r.unit, r.hover) for r in serving.chart_series(df).orderBy("x").collect()]
     assert rows == [("03/2024", "R$", "R$ 1.234,50"), ("A", "unidades", "3 unidades")]
     assert not math.isnan(df.first().y)
+
+
+def test_written_layers_carry_the_time_of_the_run(spark, sf):
+    layer = layered.silver_layer(spark, sf, "customers", "products", "orders")
+    for df in [*layer.values(), *layered.gold_layer(layer).values()]:
+        assert dict(df.dtypes)["_processed_timestamp"] == "timestamp"
+        assert "_ingestion_timestamp" not in df.columns
+        assert df.select("_processed_timestamp").distinct().count() == 1

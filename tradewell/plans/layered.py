@@ -27,7 +27,7 @@ def _bronze(spark: SparkSession, raw: DataFrame, name: str, schema: StructType)
 
 
 def silver_layer(spark: SparkSession, sf: str, *names: str) -> dict[str, DataFrame]:
-    """The named Silver tables, each from its own raw files."""
+    """The named Silver tables, each from its own raw files and stamped with the time of the run."""
     build = {
         "customers": (shop.raw_customers, schemas.CUSTOMERS, silver.silver_customers),
         "products": (shop.raw_products, schemas.PRODUCTS, silver.silver_products),
@@ -36,12 +36,13 @@ def silver_layer(spark: SparkSession, sf: str, *names: str) -> dict[str, DataFra
     found = {}
     for name in names:
         raw, schema, clean = build[name]
-        found[name] = io.materialize(clean(_bronze(spark, raw(spark, sf), name, schema), ["load_no"]), f"silver-{name}")
+        cleaned = clean(_bronze(spark, raw(spark, sf), name, schema), ["load_no"])
+        found[name] = io.materialize(silver.stamp(cleaned), f"silver-{name}")
     return found
 
 
 def gold_layer(layer: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The Gold tables; items come from the nested Silver orders."""
+    """The Gold tables, stamped with the time of the run; items come from the nested Silver orders."""
     orders, products = layer["orders"], layer["products"]
     items = gold.flatten_items(gold.completed_only(orders))
     tables = {
@@ -52,7 +53,7 @@ def gold_layer(layer: dict[str, DataFrame]) -> dict[str, DataFrame]:
             gold.kpi_by_payment(orders), gold.kpi_by_status(orders), gold.kpi_by_category(items, products)
         ),
     }
-    return {name: io.materialize(df, f"gold-{name}") for name, df in tables.items()}
+    return {name: io.materialize(silver.stamp(df), f"gold-{name}") for name, df in tables.items()}
 
 
 def pipeline_gold_revenue(spark: SparkSession, sf: str) -> DataFrame:
