@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewell.llm.common import map_texts, packed, small
+from tradewell.llm.common import map_texts
 from tradewell.sources.io import materialize
 
 #: Labelled rows that are fitted, those whose id hashes least; the bound on what is collected.
 MAX_TRAIN = 40_000
 THRESHOLD = 0.7
+#: Texts that are scored as one matrix.
+_SCORE_ROWS = 1024
 FEATURES = (
     "log_chars log_words log_lines word_mean word_sd word_max upper_share digit_share space_share "
     "letter_share other_share bang_share pipe_share stop_share comma_share symbol_share quote_share "
@@ -185,23 +187,35 @@ def fit(
     return Trees(feature, cut, leaf, start)
 
 
-def train(features: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Trees:
-    """Fit on the rows of ``features`` (doc_id, x) that ``labels`` (doc_id, y of 0 or 1) names.
+def label_sample(labels: DataFrame, max_rows: int = MAX_TRAIN) -> DataFrame:
+    """(doc_id, y, h) of the labelled ids to learn from, those with the least hash ``h``; some more
+    than ``max_rows`` at most, since not every id need have a document.
 
-    Other labels and null ids are left out; of several labels of an id the least counts. At most
-    ``max_rows`` rows reach the driver, chosen by a hash of the id.
+    ``labels`` is (doc_id, y). Other labels than 0 and 1 and null ids are left out; of several
+    labels of an id the least counts.
     """
     y = labels.filter("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     y = materialize(y.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))), "quality-labels")
     share = min(1.0, 1.2 * max_rows / max(1, y.count()))  # what sorts to the driver is bounded too
-    rows = features.join(y.filter(F.col("h") <= int(share * (1 << 40))), "doc_id")
-    rows = rows.orderBy("h", F.xxhash64("x")).limit(max_rows).select("x", "y").toArrow()
+    return y.filter(F.col("h") <= int(share * (1 << 40)))
+
+
+def fit_sample(features: DataFrame, sample: DataFrame, max_rows: int = MAX_TRAIN) -> Trees:
+    """Fit on the rows of ``features`` (doc_id, x) that ``sample`` names; at most ``max_rows`` rows
+    reach the driver, chosen by the hash of the id."""
+    rows = features.join(sample, "doc_id").orderBy("h", F.xxhash64("x")).limit(max_rows)
+    rows = rows.select("x", "y").toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     return fit(x.astype(np.float64), rows["y"].to_numpy().astype(np.float64))
 
 
+def train(features: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> Trees:
+    """Fit on the rows of ``features`` (doc_id, x) that ``labels`` (doc_id, y of 0 or 1) names."""
+    return fit_sample(features, label_sample(labels, max_rows), max_rows)
+
+
 def score(features: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """``features`` with score and predicted in place of x; the trees' size is fixed."""
     kind = features.schema["doc_id"].dataType.simpleString()
@@ -245,23 +259,34 @@ def classify(
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    max_rows: int = MAX_TRAIN,
+) -> DataFrame:
     """The documents that ``classify`` does not reject, with all their columns.
 
-    What is rejected is an id and a hash of the text; while that is small it goes to the texts,
-    beyond the bound of ``small`` both are shuffled.
+    The trees are fitted on the statistics of labelled documents alone, found through at most some
+    ``max_rows`` ids; then every text is scored and kept or dropped where it is read, so no text and
+    no decision is shuffled, whatever the size. Nulls, empty texts, repeated rows and empty tables
+    are as in ``classify``.
     """
-    rows = docs.select(
-        packed(docs, "row"),
-        F.col(f"`{text_col}`").alias("text"),
-        F.col(f"`{id_col}`").alias("doc_id"),
-    )
-    features = rows.select(F.struct("doc_id", F.xxhash64("text").alias("tag")).alias("key"), "text")
-    features = materialize(statistics_table(features, "key", "text"), "quality-features")
-    plain = features.select(F.col("doc_id.doc_id").alias("doc_id"), "x")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     known = labels.select(F.col("doc_id"), F.col("quality").alias("y")).filter(~held_out())
-    trees = train(plain, known)
-    bad = score(features, trees).filter("predicted = 0")
-    bad = materialize(bad.select("doc_id.*").distinct(), "quality-rejected")
-    same = rows["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(rows["text"]) == bad["tag"])
-    return rows.join(small(bad), same, "left_anti").select("row.*")
+    asked = label_sample(known, max_rows)
+    taught = rows.join(F.broadcast(asked.select("doc_id")), "doc_id", "left_semi")
+    trees = fit_sample(statistics_table(taught), asked, max_rows)
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        found = np.zeros(len(texts), bool)
+        for first in range(0, len(texts), _SCORE_ROWS):
+            part = texts.slice(first, _SCORE_ROWS).to_pylist()
+            x = np.array([statistics(t or "") for t in part], np.float32).astype(np.float64)
+            found[first : first + len(part)] = trees.score(x) >= threshold
+        return pa.array(found)
+
+    return docs.filter(good(F.col(f"`{text_col}`")))
