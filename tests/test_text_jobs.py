@@ -148,6 +148,51 @@ def test_cells_skip_far_cells(spark):
     assert 1 <= visits < 12
 
 
+@pytest.mark.parametrize("k,skip_same", [(1, True), (5, True), (3, False)])
+def test_pivots_of_pivots_are_exact(spark, k, skip_same, monkeypatch):
+    """Three levels, cells of many groups, and copies that no pivot splits; same rows as all pairs."""
+    for name, n in [("N_CELLS", 4), ("ROWS_PER_CELL", 10), ("PLACED_ROWS", 16), ("DOCS_PER_BLOCK", 32), ("QUESTIONS_PER_BLOCK", 90)]:
+        monkeypatch.setattr(vector_cells, name, n)
+    vecs = clustered(20 + k)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "doc_id bigint, vec array<float>")
+    q = df.withColumnRenamed("doc_id", "question_id")
+    got = vector_cells.vector_topk_cells(q, df, k, skip_same=skip_same).orderBy("question_id", "rank").collect()
+    want = retrieval.vector_topk(q, df, k, skip_same=skip_same).orderBy("question_id", "rank").collect()
+    assert len(got) == 399 * k and [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_levels_split_large_cells_and_what_is_collected_does_not_grow(spark, monkeypatch):
+    frame, taken = type(spark.range(1)), []
+    collect, arrow = frame.collect, frame.toArrow
+    monkeypatch.setattr(frame, "collect", lambda df: taken.append(len(rows := collect(df))) or rows)
+    monkeypatch.setattr(frame, "toArrow", lambda df: taken.append((rows := arrow(df)).num_rows) or rows)
+    vecs = clustered(9)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "doc_id bigint, vec array<float>")
+    q = df.withColumnRenamed("doc_id", "question_id")
+    cells = vector_cells.build_cells(df, 5, n_cells=4, rows_per_cell=10)
+    visits = vector_cells.visited(q, cells, 5)
+    assert taken and max(taken) <= 4
+    monkeypatch.undo()
+    assert len(cells.levels) == 3
+    held = {r.cell: r.n for r in cells.docs.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    leaves = {r.cell: r.n for level in cells.levels for r in level.filter("leaf").collect()}
+    assert held == leaves and sum(held.values()) == 399
+    for upper, lower in zip(cells.levels, cells.levels[1:]):
+        split = {r.cell: r.n for r in upper.filter("not leaf").collect()}
+        inside = {r.parent: r.n for r in lower.groupBy("parent").agg(F.sum("n").alias("n")).collect()}
+        assert split == inside and min(split.values()) > 10
+    some = visits.groupBy("question_id").count().agg(F.avg("count")).first()[0]
+    assert 1 <= some < len(leaves) / 2
+
+
+def test_no_documents_and_no_questions_for_cells(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "doc_id bigint, vec array<float>")
+    q = df.withColumnRenamed("doc_id", "question_id")
+    assert vector_cells.vector_topk_cells(q, df.limit(0), 5).collect() == []
+    assert vector_cells.vector_topk_cells(q.limit(0), df, 5).collect() == []
+    assert [tuple(r) for r in vector_cells.vector_topk_cells(q, df, 5).collect()] == [(1, 1, 1.0, 1)]
+
+
 def test_fewer_documents_than_k(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "doc_id bigint, vec array<float>")
     q = df.withColumnRenamed("doc_id", "question_id")
