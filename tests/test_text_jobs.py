@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
-from tradewell.operators import block_topk, chat, documents, index_sync, lexical, retrieval, vector_cells
+from tradewell.operators import block_topk, chat, documents, embedding_cache, index_sync, lexical, retrieval, vector_cells
 
 
 def brute_lexical(questions, docs, k):
@@ -218,6 +218,43 @@ def test_model_embedder_loads_once_per_task(spark):
     assert [r.vec for r in retrieval.model_embedder(load)(df).collect()] == [[2.0, 1.0], [1.0, 1.0]]
 
 
+def test_a_text_is_embedded_once(spark):
+    """Copies in a load, and texts of earlier loads, do not reach the model; nulls have no vector."""
+    sent, loaded = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def load():
+        loaded.add(1)
+
+        def model(texts):
+            sent.add(len(texts))
+            return [[float(len(t))] for t in texts]
+
+        return model
+
+    embed = embedding_cache.worker_embedder("lengths-of-this-test", load)
+    docs = [(i, "copy" if i % 3 == 0 else None if i == 4 else "" if i == 5 else f"text {i}", "own") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, vec string").repartition(7)
+    different = {t for _, t, _ in docs if t is not None}
+    spark.sql("DROP TABLE IF EXISTS cache_of_test")
+    try:
+        for rows, new in ((df.limit(0), 0), (df, len(different)), (df, 0), (df.selectExpr("doc_id", "concat(text, '!') AS text"), len(different))):
+            before = sent.value
+            got = embedding_cache.embed_once(rows, embed, "cache_of_test").select("doc_id", "text", "vec").collect()
+            assert sent.value - before == new
+            assert len(got) == rows.count()
+            assert all(r.vec == (None if r.text is None else [float(len(r.text))]) for r in got)
+            assert len({r.doc_id for r in got}) == len(got)
+        cache = spark.table("cache_of_test")
+        assert cache.count() == cache.select("text_hash").distinct().count() == 2 * len(different)
+        before, n = loaded.value, 50
+        for _ in range(3):
+            embed(spark.range(n).select(F.col("id").cast("string").alias("text")).repartition(5)).collect()
+        # Workers come and go, but few of the fifteen tasks load.
+        assert loaded.value - before < 15
+    finally:
+        spark.sql("DROP TABLE IF EXISTS cache_of_test")
+
+
 def test_index_sync_converges(spark):
     source = spark.createDataFrame([("a", "1"), ("b", "new"), ("c", "3")], "doc_id string, text string")
     held = spark.createDataFrame([("a", "1"), ("b", "old"), ("z", "9")], "doc_id string, text string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tradewell import fixed_values as fv
 from tradewell.functions.numbers import plain_number_text
 from tradewell.functions.text import score_text
-from tradewell.operators import bucketed_index, chat, documents, gold, index_sync, retrieval, vector_cells
+from tradewell.operators import bucketed_index, chat, documents, embedding_cache, gold, index_sync, retrieval, vector_cells
 from tradewell.plans import shop_queries as sq
 from tradewell.sources import io, shop
 
@@ -312,6 +312,23 @@ def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def embed_documents_once(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors from a model through its cache: English documents come first, then all of them, of
+    which only texts not seen before are embedded. The model is a plain count of characters, blanks
+    and digits in place of one that needs a file."""
+    docs = text_documents(spark, sf)
+    cache = f"embeddings_{uuid.uuid4().hex}"
+    counts = lambda texts: [[len(t), t.count(" "), sum(t.count(d) for d in "0123456789")] for t in texts]
+    model = embedding_cache.worker_embedder("counts-1", lambda: counts)
+    try:
+        embedding_cache.embed_once(docs.filter("doc_type = 'en'"), model, cache)
+        found = embedding_cache.embed_once(docs, model, cache)
+        values = [F.col("vec")[i].cast("long").alias(c) for i, c in enumerate(("chars", "blanks", "digits"))]
+        return io.materialize(found.select("doc_id", "text_hash", *values), "embedded-once")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {cache}")
+
+
 def retrieve_by_vector(spark: SparkSession, sf: str) -> DataFrame:
     docs = text_documents(spark, sf)
     embedder = retrieval.hashing_embedder(retrieval.fit_idf(docs))
@@ -346,5 +363,6 @@ QUERIES = {
     "vector_topk": vector_topk,
     "vector_topk_cells": vector_topk_cells,
     "embed_documents": embed_documents,
+    "embed_documents_once": embed_documents_once,
     "retrieve_by_vector": retrieve_by_vector,
 }

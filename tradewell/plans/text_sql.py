@@ -288,6 +288,9 @@ SQL = {
         FROM dvec WHERE value <> 0""",
         EMBEDDED,
     ),
+    "embed_documents_once": """SELECT doc_id, sha256(text) AS text_hash, length(text) AS chars,
+        length(text) - length(replace(text, ' ', '')) AS blanks,
+        length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS digits FROM documents""",
     "retrieve_by_vector": with_ctes(
         [],
         """SELECT question_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (
