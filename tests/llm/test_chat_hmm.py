@@ -1,3 +1,4 @@
+import itertools
 from collections import defaultdict
 
 import numpy as np
@@ -79,6 +80,29 @@ def test_ranges_give_the_best_path(spark, turns, model, one):
         assert [r.closes for r in got[conv]] == [*opens[1:], True]
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+@pytest.mark.parametrize("whole", [False, True])
+def test_best_path_is_best_of_all_sequences(n, whole):
+    """Every sequence of states is scored; whole numbers make ties, and some moves are forbidden."""
+    rng = np.random.default_rng(n)
+    draw = lambda *size: rng.integers(-3, 1, size).astype(float) if whole else rng.normal(size=size)
+    see, move, first = draw(n, ch.N), draw(ch.N, ch.N), draw(ch.N)
+    move[0, 3:] = -np.inf
+    score = {
+        path: first[path[0]] + sum(see[t, k] for t, k in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:]))
+        for path in itertools.product(range(ch.N), repeat=n)
+    }
+    assert score[tuple(ch.viterbi(see, move, first).tolist())] == pytest.approx(max(score.values()))
+    for last in range(ch.N):
+        path = tuple(ch.viterbi(see, move, first, last).tolist())
+        assert path[-1] == last and score[path] == pytest.approx(max(v for k, v in score.items() if k[-1] == last))
+    # A block alone: the best way to each last state from each state before it.
+    best = ch.through(see, move)
+    for before, last in itertools.product(range(ch.N), repeat=2):
+        ways = [v - first[k[0]] + move[before, k[0]] for k, v in score.items() if k[-1] == last]
+        assert best[before, last] == pytest.approx(max(ways))
+
+
 @pytest.mark.parametrize(
     ("line", "role"),
     [("User: hi", 2), ("**Bot**: hi", 3), ("### Human: hi", 2), ("[SYSTEM] hi", 1), ("Q: hi", 2), ("users: hi", 0), ("time: hi", 0)],
