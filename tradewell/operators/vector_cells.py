@@ -203,15 +203,19 @@ def _reach_first(questions: DataFrame, nodes: DataFrame, wanted: int) -> DataFra
     """Cells of the first level that can hold one of the best documents of each question."""
     first = _pivots_of(nodes.drop("parent", "n", "leaf").toArrow())
 
-    @F.pandas_udf("array<struct<cell:long,low:double,reach:double>>")
-    def reachable(vectors: pd.Series) -> pd.Series:
-        found: list[list[dict]] = []
+    @F.arrow_udf("array<struct<cell:long,low:double,reach:double>>")
+    def reachable(vectors: pa.Array) -> pa.Array:
+        counts, columns = [np.zeros(1, np.int64)], [[np.empty(0, np.int64)], [np.empty(0)], [np.empty(0)]]
         for start in range(0, len(vectors), _ROWS):
-            low, limit = first.reach(unit_rows(np.stack(vectors.iloc[start : start + _ROWS].to_numpy())), wanted)
-            for at, to in zip(low, limit, strict=True):
-                near = np.flatnonzero(at**2 <= to**2 + _SLACK)
-                found.append([{"cell": first.cells[c], "low": at[c], "reach": to} for c in near])
-        return pd.Series(found)
+            low, limit = first.reach(_units(pa.chunked_array([vectors.slice(start, _ROWS)])), wanted)
+            near = low**2 <= limit[:, None] ** 2 + _SLACK
+            q, c = np.nonzero(near)
+            counts.append(near.sum(axis=1))
+            for column, values in zip(columns, (first.cells[c], low[q, c], limit[q]), strict=True):
+                column.append(values)
+        ends = np.concatenate(counts).cumsum().astype(np.int32)
+        found = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["cell", "low", "reach"])
+        return pa.ListArray.from_arrays(pa.array(ends), found)
 
     return questions.select("question_id", "vec", F.explode(reachable("vec")).alias("at")).select(
         "question_id", "vec", "at.cell", "at.low", "at.reach"
