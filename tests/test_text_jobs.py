@@ -366,3 +366,33 @@ def test_answers_without_chart(spark):
     ).orderBy("id").collect()
     assert [r.answer for r in rows] == ["  só texto ", "a", "a", "", None]
     assert [r.chart is None for r in rows] == [True, True, True, False, True]
+
+
+@pytest.mark.parametrize("first_part", [1, 4, 10**9])
+def test_places_that_may_be_among_the_best(monkeypatch, first_part):
+    monkeypatch.setattr(lexical, "FIRST_PART", first_part)
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 3, 50, 400):
+        sums = rng.integers(0, 7, n) * 10**16 + rng.integers(0, 3, n) * lexical.SLACK // 2
+        for k in (1, 5):
+            near = lexical._near_places(sums, k)
+            best = [i for i in np.lexsort((np.arange(n), -sums))[:k] if sums[i]]
+            assert set(best) <= set(near)
+            assert Counter(sums[near]).total() <= 4 * k
+
+
+def test_pairs_of_questions_and_documents_are_no_rows(spark):
+    """All documents hold the term of all questions; only the k first copies leave a block."""
+    index = spark.createDataFrame([(i, [7, 8], [0.6, 0.8]) for i in range(3000)], "doc_id bigint, codes array<bigint>, ws array<double>")
+    asked = spark.createDataFrame([(q, 7, 1.0) for q in range(400)], "q bigint, code bigint, w double")
+    near = lexical._near_pairs(index, 6000, asked, 5)
+    assert {(r.q, r.d) for r in near.collect()} >= {(q, d) for q in range(400) for d in range(5)}
+    blocks = min(8 * lexical.BLOCKS_A_CORE, 6000 // lexical.LEAST_WEIGHTS + 1)
+    assert near.count() <= 400 * 5 * blocks
+
+
+def test_a_document_without_an_id_is_one_document(spark):
+    q = spark.createDataFrame([("q", "hay")], "question_id string, text string")
+    docs = spark.createDataFrame([(None, "hay"), (None, "stack"), (2, "hay stack")], "doc_id bigint, text string")
+    got = [(r.doc_id, r.rank) for r in lexical.lexical_topk(q, docs).orderBy("rank").collect()]
+    assert got == [(None, 1), (2, 2)]
