@@ -396,3 +396,15 @@ def test_a_document_without_an_id_is_one_document(spark):
     docs = spark.createDataFrame([(None, "hay"), (None, "stack"), (2, "hay stack")], "doc_id bigint, text string")
     got = [(r.doc_id, r.rank) for r in lexical.lexical_topk(q, docs).orderBy("rank").collect()]
     assert got == [(None, 1), (2, 2)]
+
+
+def test_vectors_are_shuffled_once_and_questions_once_a_block(spark, monkeypatch):
+    """Documents of several blocks, parts of questions: one row of the shuffle for a document."""
+    monkeypatch.setattr(block_topk, "DOCS_HELD", 90)
+    monkeypatch.setattr(block_topk, "QUESTIONS_PER_BLOCK", 32)
+    vecs = clustered(6)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "doc_id bigint, vec array<float>")
+    found = retrieval.vector_topk(df.withColumnRenamed("doc_id", "question_id"), df, 5, skip_same=True)
+    plan = plan_of(found)
+    assert plan.count("Generate explode") == 1 and "CoGroup" not in plan
+    assert {(r.question_id, r.doc_id, r.rank) for r in found.collect()} == brute_vectors(vecs, 5)
