@@ -1,14 +1,15 @@
 import math
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
-from tradewell.config import LayerStep
+from tradewell.config import LayerStep, scratch_root
 from tradewell.operators import gold, quality, ranking, serving, silver
 from tradewell.plans import layered
-from tradewell.sources import shop
+from tradewell.sources import schemas, shop
 
 
 def test_customer_cleaning(spark):
@@ -209,3 +210,14 @@ def test_written_layers_carry_the_time_of_the_run(spark, sf):
         assert dict(df.dtypes)["_processed_timestamp"] == "timestamp"
         assert "_ingestion_timestamp" not in df.columns
         assert df.select("_processed_timestamp").distinct().count() == 1
+
+
+def test_raw_files_of_the_chain_are_compressed(spark):
+    rows = spark.range(5000).select(F.concat(F.lit("P"), "id").alias("product_id"), F.lit("a name").alias("product_name"), F.lit(1).alias("load_no"))
+    held = set(Path(scratch_root(spark)).glob("raw-packed-*"))
+    got = layered._bronze(spark, rows, "packed", schemas.PRODUCTS)
+    assert got.select("product_id", "product_name", "load_no").exceptAll(rows).count() == 0 and got.count() == 5000
+    (raw,) = set(Path(scratch_root(spark)).glob("raw-packed-*")) - held
+    parts = list(raw.glob("part-*"))
+    assert parts and all(p.name.endswith(".json.gz") for p in parts)
+    assert sum(p.stat().st_size for p in parts) < 5000 * 10

@@ -18,9 +18,9 @@ from tradewell.sources import io, schemas, shop
 
 
 def _bronze(spark: SparkSession, raw: DataFrame, name: str, schema: StructType) -> DataFrame:
-    """Raw rows as JSON lines, scanned with the declared schema and stamped."""
+    """Raw rows as compressed JSON lines, scanned with the declared schema and stamped."""
     path = f"{scratch_root(spark)}/raw-{name}-{uuid.uuid4().hex}"
-    raw.write.json(path)
+    raw.write.json(path, compression="gzip")
     loads = StructType([*schema.fields, StructField("load_no", IntegerType())])
     scan = io.read_raw_json(spark, path, loads, multiline=False)
     return io.materialize(io.add_ingestion_metadata(scan, f"{name}.json"), f"bronze-{name}")
