@@ -93,3 +93,27 @@ def test_only_sums_of_ranges_leave_their_range(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"a": 1}]')
     plan = plan_of(json_arrays.array_records(spark, str(tmp_path / "a.json")))
     assert "Python" not in plan and "CartesianProduct" not in plan and "SinglePartition" not in plan
+
+
+def test_a_file_is_read_three_times_and_an_object_parsed_once(spark, tmp_path, small_ranges):
+    path = tmp_path / "rows.json"
+    path.write_text(json.dumps(made(5, 200)), encoding="utf-8")
+    schema = spark.createDataFrame([], KEYS).schema
+    good, _ = io.split_corrupt(json_arrays.read_json_array(spark, str(path), schema, keep_corrupt=True))
+    found = good.select("a", "b.c", F.size("b.c"), "n")
+    assert len(found.collect()) == 200
+    plan = plan_of(found).split("+- == Initial Plan ==")[0]
+    print(plan)
+    # Quotes of the ranges, the shuffle by range (used again for the depths), pieces at the borders.
+    assert plan.count("FileScan text") <= 3
+    assert plan.count("from_json(") == plan.count("Generate ")
+
+
+def test_an_object_longer_than_many_ranges(spark, tmp_path, small_ranges):
+    rows = [{"a": "x" * 3000 + '"}{[' * 40, "b": {"c": ["}"] * 500, "d": None}, "n": i} for i in range(5)]
+    rows[2] = {"a": None, "b": None, "n": 2}
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows), encoding="utf-8")
+    schema = spark.createDataFrame([], KEYS).schema
+    found = json_arrays.read_json_array(spark, str(tmp_path), schema)
+    assert sorted(map(as_json, found.collect()), key=lambda r: r["n"]) == [r for r in rows for _ in range(2)]

@@ -5,6 +5,10 @@ a cut lies in a string or how deep it is. Both follow from sums over what stands
 file: the number of quotes says whether a cut lies in a string, and the number of opened less
 closed brackets how deep it is. A range adds up its own cuts, the sums of the ranges before it are
 added, and the cuts between two returns to the depth of the array are one record.
+
+The text is shuffled once, each range to one task, and records within a range are put together
+there. What leaves a range is one row for its quotes, one for each depth at which an object ends in
+it, and the pieces of the records that cross its borders.
 """
 
 from __future__ import annotations
@@ -19,23 +23,66 @@ from tradewell.sources.io import CORRUPT
 _PLACE = ["_file", "_range"]
 
 
-def _count(text: Column, signs: str) -> Column:
-    """How many of the signs a text holds."""
-    return F.length(text) - F.length(F.translate(text, signs, ""))
+# A run without brackets of the structure, with the strings in it.
+_NO_BRACKETS = r'(?:[^"{\[\]]++|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\z))++'
+
+
+def _count(text: Column, sign: str) -> Column:
+    """How many of the sign, of one byte, a text holds."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
+
+
+def _starts(read: DataFrame) -> DataFrame:
+    """A row for each range: the quotes before it in its file, and the place of the last cut of the
+    file if no } ends it. Only the bytes say so; a byte-order mark may be left out.
+    """
+    ranges = read.groupBy(*_PLACE).agg(
+        F.sum("_quotes").alias("_quotes"),
+        F.max("_at").alias("_end"),
+        F.sum(F.octet_length("_text") + 1).alias("_bytes"),
+        F.max("_size").alias("_size"),
+    )
+    file = W.partitionBy("_file")
+    earlier = file.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    whole = (F.max("_size").over(file) - F.sum("_bytes").over(file)).isin(0, 3)
+    last = F.col("_range") == F.max("_range").over(file)
+    return ranges.select(
+        *_PLACE,
+        F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)).alias("_quotes_before"),
+        F.when(last & ~whole, F.col("_end")).alias("_open_end"),
+    )
 
 
-def _sum_before(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over all cuts of the file that stand before each cut.
+def _marks(cuts: DataFrame) -> DataFrame:
+    """A row for each range: its depth at the start, the records closed before it in its file, and how
+    many it closes, with the places of the first and the last cut that does.
 
-    A range of bytes is summed in its own window; what crosses ranges is one row for each.
+    How often an object ends at a depth, counted from the start of the range, is known before the
+    depth at the start; the ends at the depth of the array are picked when it is.
     """
-    totals = rows.groupBy(*_PLACE).agg(F.sum(value).alias("_total"))
-    earlier = W.partitionBy("_file").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    start = totals.select(*_PLACE, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
-    inside = W.partitionBy(*_PLACE).orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
-    here = rows.withColumn("_here", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    both = here.join(start, _PLACE).withColumn(name, F.col("_start") + F.col("_here"))
-    return both.drop("_start", "_here")
+    depths = cuts.groupBy(*_PLACE, F.when(F.col("_ends"), F.col("_depth")).alias("_level")).agg(
+        F.sum("_deeper").alias("_deeper"),
+        F.count("*").alias("_ends"),
+        F.min("_at").alias("_min"),
+        F.max("_at").alias("_max"),
+    )
+    before = W.partitionBy("_file").orderBy("_range").rangeBetween(W.unboundedPreceding, -1)
+    known = depths.withColumn("_start", F.coalesce(F.sum("_deeper").over(before), F.lit(0)))
+    at_array = lambda c: F.when(F.col("_start") + F.col("_level") == 1, F.col(c))
+    ranges = known.groupBy(*_PLACE).agg(
+        F.max("_start").alias("_start"),
+        F.coalesce(F.max(at_array("_ends")), F.lit(0)).alias("_closes"),
+        F.max(at_array("_min")).alias("_first"),
+        F.max(at_array("_max")).alias("_last"),
+    )
+    return ranges.withColumn("_number", F.coalesce(F.sum("_closes").over(before), F.lit(0)))
+
+
+def _joined(cuts: DataFrame, keys: list[str], closed: Column) -> DataFrame:
+    """``(file, number, text, closed)``: the cuts of each key in one text."""
+    whole = F.transform(F.sort_array(F.collect_list(F.struct("_range", "_at", "_text"))), lambda c: c["_text"])
+    records = cuts.groupBy(*keys).agg(F.array_join(whole, "}").alias("text"), closed.alias("closed"))
+    return records.select(F.col("_file").alias("file"), F.col("_number").alias("number"), "text", "closed")
 
 
 def array_records(spark: SparkSession, path: str) -> DataFrame:
@@ -43,6 +90,9 @@ def array_records(spark: SparkSession, path: str) -> DataFrame:
     pretty-printed or not. Text after the last whole object, but the end of the array, is a record
     of its own, so that a file cut off in the middle loses only its last object, and says so.
     """
+    text = F.col("_text")
+    # A backslash stands only in strings, where it takes the next sign with it.
+    plain = F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"\\.", "")).otherwise(text)
     read = spark.read.text(path, lineSep="}").select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_range"),
@@ -50,32 +100,40 @@ def array_records(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").alias("_text"),
         F.col("_metadata.file_size").alias("_size"),
     )
-    # The last cut of a file ends at a } only if the bytes say so; a byte-order mark may be left out.
-    files = read.groupBy("_file").agg(
-        F.max(F.struct("_range", "_at")).alias("_last"),
-        (F.max("_size") - F.sum(F.octet_length("_text")) - F.count("*")).isin(0, 3).alias("_whole"),
+    read = read.withColumn("_quotes", _count(plain, '"'))
+    # One row for each range, so both tables stay small.
+    starts = F.broadcast(_starts(read))
+    here = W.partitionBy(*_PLACE).orderBy("_at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    cuts = read.drop("_size").withColumn("_upto", F.sum("_quotes").over(here)).join(starts, _PLACE)
+    upto = F.col("_quotes_before") + F.col("_upto")
+    opened = F.when((upto - F.col("_quotes")) % 2 == 1, F.concat(F.lit('"'), text)).otherwise(text)
+    shut = ~F.col("_at").eqNullSafe(F.col("_open_end"))
+    cuts = cuts.select(
+        *_PLACE,
+        "_at",
+        "_text",
+        F.regexp_replace(opened, _NO_BRACKETS, "").alias("_bare"),
+        (shut & (upto % 2 == 0)).alias("_ends"),  # a } of the structure
     )
-    last = F.struct("_range", "_at") == F.col("_last")
-    cuts = read.join(files, "_file").withColumn("_shut", F.col("_whole") | ~last).drop("_size", "_last", "_whole")
-    # A backslash stands only in strings, where it takes the next sign with it.
-    quotes = _count(F.regexp_replace("_text", r"\\.", ""), '"')
-    cuts = _sum_before(cuts.withColumn("_quotes", quotes), "_quotes", "_before")
-    inside = F.col("_before") % 2 == 1
-    opened = F.when(inside, F.concat(F.lit('"'), "_text")).otherwise(F.col("_text"))
-    bare = F.regexp_replace(opened, r'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\z)', "")
-    ends = F.col("_shut") & ((F.col("_before") + F.col("_quotes")) % 2 == 0)  # a } of the structure
-    cuts = cuts.withColumn("_bare", bare).withColumn("_ends", ends)
-    deeper = _count(F.col("_bare"), "{[") - _count(F.col("_bare"), "}]") - F.col("_ends").cast("int")
-    cuts = _sum_before(cuts.withColumn("_deeper", deeper), "_deeper", "_depth")
-    closes = F.col("_ends") & (F.col("_depth") + F.col("_deeper") == 1)
-    cuts = _sum_before(cuts.withColumn("_closes", closes.cast("int")), "_closes", "_number")
-    whole = F.transform(F.sort_array(F.collect_list(F.struct("_range", "_at", "_text"))), lambda c: c["_text"])
-    records = cuts.groupBy(F.col("_file").alias("file"), F.col("_number").alias("number")).agg(
-        F.array_join(whole, "}").alias("text"), F.max("_closes").alias("closed")
+    bare = F.col("_bare")
+    deeper = _count(bare, "{") + _count(bare, "[") - _count(bare, "]") - F.col("_ends").cast("int")
+    cuts = cuts.withColumn("_deeper", deeper).drop("_bare").withColumn("_depth", F.sum("_deeper").over(here))
+    marks = F.broadcast(_marks(cuts))
+    at, first, last = F.col("_at"), F.col("_first"), F.col("_last")
+    # Records that lie within a range are put together in its task.
+    closes = (F.col("_ends") & (F.col("_start") + F.col("_depth") == 1)).cast("int")
+    within = cuts.join(marks, _PLACE).filter((at > first) & (at <= last)).withColumn("_closes", closes)
+    number = F.col("_number") + 1 + F.sum("_closes").over(here) - F.col("_closes")
+    within = within.select(*_PLACE, "_at", "_text", number.alias("_number"))
+    # The others begin or end outside of it: of a range, what stands up to its first or after its last end.
+    border = read.join(marks, _PLACE).filter(first.isNull() | (at <= first) | (at > last))
+    border = border.withColumn("_number", F.col("_number") + F.when(at > last, F.col("_closes")).otherwise(0))
+    records = _joined(within, [*_PLACE, "_number"], F.lit(True)).union(
+        _joined(border, ["_file", "_number"], F.max(at.eqNullSafe(first)))
     )
     # What stands between two objects is before the second.
     text = F.regexp_replace("text", r"^[\s\x{FEFF}]*[\[,]?\s*", "")
-    text = F.when(F.col("closed") == 1, F.concat(text, F.lit("}"))).otherwise(F.regexp_replace(text, r"^\]?\s*$", ""))
+    text = F.when(F.col("closed"), F.concat(text, F.lit("}"))).otherwise(F.regexp_replace(text, r"^\]?\s*$", ""))
     return records.select("file", "number", text.alias("text")).filter("text <> ''")
 
 
@@ -88,8 +146,8 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType, keep_cor
     """
     fields = StructType([*schema.fields, StructField(CORRUPT, StringType())]) if keep_corrupt else schema
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    parsed = F.from_json("text", fields, options)
-    return array_records(spark, path).select(parsed.alias("_row")).select("_row.*")
+    # A generator's row is made once; a column of a projection, again for each field used after it.
+    return array_records(spark, path).select(F.inline(F.array(F.from_json("text", fields, options))))
 
 
 def write_json_arrays(df: DataFrame, path: str) -> None:
@@ -98,7 +156,7 @@ def write_json_arrays(df: DataFrame, path: str) -> None:
         {"part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
     )
     order = W.partitionBy("part").orderBy("_at")
-    before = F.when(F.lag("_json").over(order).isNull(), F.lit("[")).otherwise(F.lit(","))
-    after = F.when(F.lead("_json").over(order).isNull(), F.lit("\n]")).otherwise(F.lit(""))
+    before = F.when(F.lag("_at").over(order).isNull(), F.lit("[")).otherwise(F.lit(","))
+    after = F.when(F.lead("_at").over(order).isNull(), F.lit("\n]")).otherwise(F.lit(""))
     lines = rows.select("part", F.concat(before, F.lit("\n  "), "_json", after).alias("value"))
     lines.write.partitionBy("part").text(path)
