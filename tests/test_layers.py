@@ -1,3 +1,4 @@
+import threading
 import math
 import re
 from pathlib import Path
@@ -221,3 +222,25 @@ def test_raw_files_of_the_chain_are_compressed(spark):
     parts = list(raw.glob("part-*"))
     assert parts and all(p.name.endswith(".json.gz") for p in parts)
     assert sum(p.stat().st_size for p in parts) < 5000 * 10
+
+
+def test_steps_that_do_not_read_each_other_run_together(spark):
+    met = threading.Barrier(3, timeout=20)
+    steps = {name: lambda name=name: (met.wait(), spark.range(3).withColumn("name", F.lit(name)))[1] for name in "abc"}
+    found = layered._together(spark, steps)
+    assert list(found) == list("abc") and all(df.first()["name"] == name for name, df in found.items())
+
+    def fails():
+        raise ValueError("no rows")
+
+    with pytest.raises(ValueError, match="no rows"):
+        layered._together(spark, {"good": lambda: spark.range(1), "bad": fails})
+
+
+def test_order_items_are_nested_by_the_stored_number(spark, sf):
+    raw = shop.raw_orders(spark, sf)
+    assert "hashpartitioning(l_orderkey" in plan_of(raw) and "hashpartitioning(order_id" not in plan_of(raw)
+    items = raw.select("order_id", "load_no", F.explode("items").alias("i")).select("order_id", "load_no", "i.*")
+    assert items.exceptAll(shop.raw_items(spark, sf)).count() == 0
+    assert shop.raw_items(spark, sf).exceptAll(items).count() == 0
+    assert raw.drop("items").exceptAll(shop.raw_order_headers(spark, sf)).count() == 0

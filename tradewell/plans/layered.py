@@ -6,7 +6,10 @@ Every layer is written to the shared folder and read from there, as on a schedul
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -17,10 +20,21 @@ from tradewell.plans.text_queries import user_questions
 from tradewell.sources import io, schemas, shop
 
 
+def _together(spark: SparkSession, steps: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Results of steps that don't read each other, run at the same time: the cores that the last
+    tasks and small jobs of one leave free work for another."""
+    with ThreadPoolExecutor(max(1, len(steps))) as pool:
+        runs = {name: pool.submit(inheritable_thread_target(spark)(step)) for name, step in steps.items()}
+        return {name: run.result() for name, run in runs.items()}
+
+
 def _bronze(spark: SparkSession, raw: DataFrame, name: str, schema: StructType) -> DataFrame:
-    """Raw rows as compressed JSON lines, scanned with the declared schema and stamped."""
+    """Raw rows as compressed JSON lines, scanned with the declared schema and stamped.
+
+    The files are read once, so they are compressed at the fastest level.
+    """
     path = f"{scratch_root(spark)}/raw-{name}-{uuid.uuid4().hex}"
-    raw.write.json(path, compression="gzip")
+    raw.write.option("zlib.compress.level", "BEST_SPEED").json(path, compression="gzip")
     loads = StructType([*schema.fields, StructField("load_no", IntegerType())])
     scan = io.read_raw_json(spark, path, loads, multiline=False)
     return io.materialize(io.add_ingestion_metadata(scan, f"{name}.json"), f"bronze-{name}")
@@ -33,12 +47,13 @@ def silver_layer(spark: SparkSession, sf: str, *names: str) -> dict[str, DataFra
         "products": (shop.raw_products, schemas.PRODUCTS, silver.silver_products),
         "orders": (shop.raw_orders, schemas.ORDERS, silver.silver_orders),
     }
-    found = {}
-    for name in names:
+
+    def table(name: str) -> DataFrame:
         raw, schema, clean = build[name]
         cleaned = clean(_bronze(spark, raw(spark, sf), name, schema), ["load_no"])
-        found[name] = io.materialize(silver.stamp(cleaned), f"silver-{name}")
-    return found
+        return io.materialize(silver.stamp(cleaned), f"silver-{name}")
+
+    return _together(spark, {name: lambda name=name: table(name) for name in names})
 
 
 def gold_layer(layer: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -46,14 +61,15 @@ def gold_layer(layer: dict[str, DataFrame]) -> dict[str, DataFrame]:
     orders, products = layer["orders"], layer["products"]
     items = gold.flatten_items(gold.completed_only(orders))
     tables = {
-        "revenue_summary": gold.revenue_summary(orders),
-        "top_products": gold.top_products(items, products),
-        "top_customers": gold.top_customers(orders, layer["customers"]),
-        "kpis": gold.union_kpis(
+        "revenue_summary": lambda: gold.revenue_summary(orders),
+        "top_products": lambda: gold.top_products(items, products),
+        "top_customers": lambda: gold.top_customers(orders, layer["customers"]),
+        "kpis": lambda: gold.union_kpis(
             gold.kpi_by_payment(orders), gold.kpi_by_status(orders), gold.kpi_by_category(items, products)
         ),
     }
-    return {name: io.materialize(silver.stamp(df), f"gold-{name}") for name, df in tables.items()}
+    written = lambda name: io.materialize(silver.stamp(tables[name]()), f"gold-{name}")
+    return _together(orders.sparkSession, {name: lambda name=name: written(name) for name in tables})
 
 
 def pipeline_gold_revenue(spark: SparkSession, sf: str) -> DataFrame:
