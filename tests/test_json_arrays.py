@@ -1,3 +1,4 @@
+import gzip
 import json
 import random
 
@@ -117,3 +118,25 @@ def test_an_object_longer_than_many_ranges(spark, tmp_path, small_ranges):
     schema = spark.createDataFrame([], KEYS).schema
     found = json_arrays.read_json_array(spark, str(tmp_path), schema)
     assert sorted(map(as_json, found.collect()), key=lambda r: r["n"]) == [r for r in rows for _ in range(2)]
+
+
+@pytest.mark.parametrize("most", [None, 1, 4000])
+def test_compressed_arrays_of_bounded_size(spark, tmp_path, most):
+    """Rows stay in their partition; files are arrays by themselves and give the same rows when read."""
+    rows = made(11, 300)
+    df = spark.createDataFrame(rows, KEYS).repartition(3).cache()
+    json_arrays.write_json_arrays(df, str(tmp_path / "out"), "gzip", most)
+    files = list((tmp_path / "out").glob("part=*/*.txt.gz"))
+    held = [json.loads(gzip.decompress(f.read_bytes())) for f in files]
+    assert sorted(r["n"] for a in held for r in a) == list(range(300))
+    assert len(files) == {None: 3, 1: 300}.get(most, len(files)) and all(held)
+    assert most != 4000 or (3 < len(files) < 60)
+    found = json_arrays.read_json_array(spark, str(tmp_path / "out"), df.schema, keep_corrupt=True)
+    got = sorted(map(as_json, found.collect()), key=lambda r: r["n"])
+    assert all(r.pop(io.CORRUPT) is None for r in got) and got == rows
+    # A compressed file of as many bytes as its text is none that a } ends.
+    for cut, bad in ((0, 0), (-3, 1)):
+        text = json.dumps([{"n": i, "a": "x" * 50} for i in range(4)])
+        (tmp_path / f"one{cut}.json.gz").write_bytes(gzip.compress(text[: len(text) + cut].encode()))
+        good, torn = io.split_corrupt(json_arrays.read_json_array(spark, str(tmp_path / f"one{cut}.json.gz"), df.schema, keep_corrupt=True))
+        assert [r.n for r in good.orderBy("n").collect()] == list(range(4 - bad)) and torn.count() == bad

@@ -71,9 +71,10 @@ def bronze_orders_nested(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bronze_orders_array_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested orders scanned from files that hold one JSON array each, with the declared schema."""
+    """Nested orders scanned from files that hold one JSON array each, with the declared schema. The
+    files are compressed, so they are kept small enough for a task."""
     path = f"{scratch_root(spark)}/orders-arrays-{uuid.uuid4().hex}"
-    json_arrays.write_json_arrays(shop.raw_orders(spark, sf), path)
+    json_arrays.write_json_arrays(shop.raw_orders(spark, sf), path, "gzip", 32 * 2**20)
     loads = StructType([*schemas.ORDERS.fields, StructField("load_no", IntegerType())])
     good, _ = io.split_corrupt(json_arrays.read_json_array(spark, path, loads, keep_corrupt=True))
     return _nested_rows(good)

@@ -9,10 +9,19 @@ added, and the cuts between two returns to the depth of the array are one record
 The text is shuffled once, each range to one task, and records within a range are put together
 there. What leaves a range is one row for its quotes, one for each depth at which an object ends in
 it, and the pieces of the records that cross its borders.
+
+Compressed files can't be cut: each is one range.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +29,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tradewell.sources.io import CORRUPT
 
+# Tasks get these functions with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _PLACE = ["_file", "_range"]
+#: Files of a task at most.
+PARTS_OF_A_TASK = 2**24
+#: Names of files whose size says nothing about their text.
+COMPRESSED = r"\.(gz|bz2|zst|lz4|snappy|deflate)$"
 
 
 # A run without brackets of the structure, with the strings in it.
@@ -34,7 +50,8 @@ def _count(text: Column, sign: str) -> Column:
 
 def _starts(read: DataFrame) -> DataFrame:
     """A row for each range: the quotes before it in its file, and the place of the last cut of the
-    file if no } ends it. Only the bytes say so; a byte-order mark may be left out.
+    file if no } ends it. Only the bytes say so; a byte-order mark may be left out. A compressed file
+    is taken as one that no } ends: it ends with the array.
     """
     ranges = read.groupBy(*_PLACE).agg(
         F.sum("_quotes").alias("_quotes"),
@@ -44,7 +61,7 @@ def _starts(read: DataFrame) -> DataFrame:
     )
     file = W.partitionBy("_file")
     earlier = file.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    whole = (F.max("_size").over(file) - F.sum("_bytes").over(file)).isin(0, 3)
+    whole = (F.max("_size").over(file) - F.sum("_bytes").over(file)).isin(0, 3) & ~F.col("_file").rlike(COMPRESSED)
     last = F.col("_range") == F.max("_range").over(file)
     return ranges.select(
         *_PLACE,
@@ -150,13 +167,42 @@ def read_json_array(spark: SparkSession, path: str, schema: StructType, keep_cor
     return array_records(spark, path).select(F.inline(F.array(F.from_json("text", fields, options))))
 
 
-def write_json_arrays(df: DataFrame, path: str) -> None:
-    """Write a file for each partition, in a folder of its own: a JSON array of the rows in it."""
-    rows = df.select(F.to_json(F.struct(*df.columns)).alias("_json")).withColumns(
-        {"part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
-    )
-    order = W.partitionBy("part").orderBy("_at")
-    before = F.when(F.lag("_at").over(order).isNull(), F.lit("[")).otherwise(F.lit(","))
-    after = F.when(F.lead("_at").over(order).isNull(), F.lit("\n]")).otherwise(F.lit(""))
-    lines = rows.select("part", F.concat(before, F.lit("\n  "), "_json", after).alias("value"))
-    lines.write.partitionBy("part").text(path)
+def _as_arrays(most: int | None):
+    """Lines of arrays, in order: ``(part, _at, value)`` of rows ``(_json, part)``, another part when one
+    holds ``most`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number, size, opened, last = 0, 0, 0, False, None
+
+        def lines(values: pa.Array) -> pa.RecordBatch:
+            nonlocal at
+            at += len(values)
+            part = pa.array([last * PARTS_OF_A_TASK + number] * len(values), pa.int64())
+            return pa.RecordBatch.from_arrays([part, pa.array(range(at - len(values), at), pa.int64()), values], ["part", "_at", "value"])
+
+        for batch in batches:
+            while batch.num_rows:
+                last = batch["part"][0].as_py()
+                sizes = np.cumsum(pc.binary_length(batch["_json"]).to_numpy()) + size
+                n = batch.num_rows if most is None else min(batch.num_rows, int(np.searchsorted(sizes, most)) + 1)
+                json = batch["_json"].slice(0, n)
+                before = pa.array(["[\n  "] * (not opened) + [",\n  "] * (n - (not opened)))
+                yield lines(pc.binary_join_element_wise(before, json, ""))
+                batch, size, opened = batch.slice(n), int(sizes[n - 1]), True
+                if most is not None and size >= most:
+                    yield lines(pa.array(["]"]))
+                    number, size, opened = number + 1, 0, False
+        if opened:
+            yield lines(pa.array(["]"]))
+
+    return run
+
+
+def write_json_arrays(df: DataFrame, path: str, compression: str | None = None, most: int | None = None) -> None:
+    """Write a file for each partition, in a folder of its own: a JSON array of the rows in it. ``most``
+    bounds the bytes of a file before they are compressed, but for its last row; a partition is several
+    files then. No row leaves its partition."""
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("_json"), F.spark_partition_id().cast("bigint").alias("part"))
+    lines = rows.mapInArrow(_as_arrays(most), "part bigint, _at bigint, value string")
+    lines = lines.sortWithinPartitions("part", "_at").select("part", "value")
+    lines.write.partitionBy("part").text(path, compression=compression)
