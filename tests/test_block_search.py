@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import plan_of
 from tradewell.operators import block_search, lexical, retrieval
+from tradewell.sources import io
 
 UNIT = 10**9
 
@@ -100,3 +101,15 @@ def test_sizes_change_the_way_not_the_hits(spark, monkeypatch, name, value):
         plan = plan_of(found)
         assert plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("Exchange hashpartitioning(d#") == 1
     assert sorted(map(str, found.collect())) == want
+
+
+def test_large_files_are_read_where_they_lie(spark, tmp_path):
+    """A file of many parts is not dealt out over the cores, a small one is."""
+    spark.range(20000).selectExpr("id AS doc_id", "uuid() AS text").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    scan = spark.read.parquet(str(tmp_path / "docs"))
+    assert "Exchange" in plan_of(io.spread(scan, "doc_id"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(2**14))
+    try:
+        assert "Exchange" not in plan_of(io.spread(spark.read.parquet(str(tmp_path / "docs")), "doc_id"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
