@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +114,16 @@ def test_large_files_are_read_where_they_lie(spark, tmp_path):
         assert "Exchange" not in plan_of(io.spread(spark.read.parquet(str(tmp_path / "docs")), "doc_id"))
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_equal_questions_are_searched_once(spark, monkeypatch):
+    """Questions that the documents don't tell apart are one row; each of them gets the hits."""
+    rows = pa.table({"q": [7, 8, 9, 10, 11], "terms": [[{"code": c, "w": w} for c, w in t] for t in ([(3, 0.6), (5, 0.8)], [(5, 1.0)], [(5, 0.8), (3, 0.6)], [(3, 0.8), (5, 0.6)], [(5, 1.0)])]})
+    asked = lexical._asked(rows)
+    assert len(asked["starts"]) == 4 and sorted(np.split(asked["q"], asked["firsts"][1:-1])[i].tolist() for i in range(3)) == [[7, 9], [8, 11], [10]]
+    monkeypatch.setattr(lexical, "SENT_PAIRS", 3)
+    asks = spark.createDataFrame([(f"q{i}", f"hay x{i}" if i % 2 else f"y{i} stack") for i in range(20)], "question_id string, text string")
+    docs = spark.createDataFrame([(1, "hay"), (2, "stack stack"), (3, "hay stack")], "doc_id bigint, text string")
+    found = lexical.lexical_topk(asks, docs).collect()
+    want = {(f"q{i}", d, s, r) for i in range(20) for d, s, r in ([(1 if i % 2 else 2, 1.0, 1), (3, round(2**-0.5, 6), 2)])}
+    assert {(r.question_id, r.doc_id, r.score, r["rank"]) for r in found} == want and len(found) == 40
